@@ -53,7 +53,7 @@ def source_targets(sizes: DataFrame, weights: list[float], max_repeat: float) ->
     before = up.rowsBetween(Window.unboundedPreceding, -1)
     since = up.rowsBetween(0, Window.unboundedFollowing)
     levels = ranked.withColumn("level_here", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(since))
-    first = levels.withColumn("level", F.min(F.when(F.col("level_here") <= F.col("ratio"), F.col("level_here"))).over(everything))
+    first = levels.withColumn("level", F.max(F.when(F.col("level_here") <= F.col("ratio"), F.col("level_here"))).over(everything))
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
     return first.select(_KEY, "source_size", target.alias("target"), "total")
 

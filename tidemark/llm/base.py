@@ -47,7 +47,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 def size_hint(df: DataFrame) -> int:
     """Bytes of the input as the planner sees them (file sizes for Parquet)."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(size, 1 << 50)
 
 

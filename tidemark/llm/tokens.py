@@ -1,6 +1,9 @@
 """Token counts of whole texts, with overlap resynchronisation for huge ones.
 
-Ordinary texts are encoded whole. A text longer than ``chunk`` characters is encoded in
+A place between a character and a single space that follows it is always a token boundary:
+every pattern of byte-level pre-tokenisation that takes a character other than white space
+ends before white space, and no special string contains any (checked). Ordinary texts are cut there, and
+each distinct segment is encoded once by the library and remembered. A text longer than ``chunk`` characters is encoded in
 overlapping chunks with offsets. Two neighbours are spliced at a position inside their
 overlap that is a token boundary in both and that is proven stable: a letter stands before
 it and white space or plain punctuation after it. Byte-level pre-tokenisation ends a run of
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 CHUNK = 32_768
 OVERLAP = 256
 #: Characters of ordinary texts encoded at once.
-GROUP = 1 << 18
+GROUP = 1 << 20
+#: Remembered segments; beyond that many they are forgotten and encoded anew.
+KNOWN = 500_000
 #: Marks after a letter that end a token.
 MARKS = " \n\t\r.,;:!?)]}。、，"
 
@@ -42,11 +47,26 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chunk, self.overlap = chunk, overlap
+        self.known: dict[str, int] = {}
         for added in self.tokenizer.get_added_tokens_decoder().values():
             text = str(added.content)
-            if any(text[i - 1].isalpha() and text[i] in MARKS for i in range(1, len(text))) or text[:1] in MARKS or added.lstrip or added.rstrip:
+            if any(text[i - 1].isalpha() and text[i] in MARKS for i in range(1, len(text))) or any(c.isspace() for c in text) or text[:1] in MARKS or added.lstrip or added.rstrip:
                 raise ValueError(f"special string {text!r} allows no stable boundary")
 
+    def segments(self, text: str) -> list[str]:
+        """The text cut before every space that follows a character other than white space."""
+        pieces = text.split(" ")
+        if all(pieces) and not any(p[-1].isspace() for p in pieces):
+            return [pieces[0], *map(" ".__add__, pieces[1:])]
+        out, held = [], pieces[0]
+        for piece in pieces[1:]:
+            if held and not held[-1].isspace():
+                out.append(held)
+                held = " " + piece
+            else:
+                held += " " + piece
+        return [*out, held] if held else out
+
     def counts(self, texts: list[str]) -> list[int]:
         out, at = [0] * len(texts), 0
         while at < len(texts):
@@ -58,7 +78,12 @@ class Counter:
             while end < len(texts) and len(texts[end]) <= self.chunk and (end == at or chars + len(texts[end]) <= GROUP):
                 chars += len(texts[end])
                 end += 1
-            out[at:end] = [len(e) for e in self.tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)]
+            cut = [self.segments(t) for t in texts[at:end]]
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            new = [s for s in {s for segments in cut for s in segments} if s not in self.known]
+            self.known.update(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            out[at:end] = [sum(map(self.known.__getitem__, segments)) for segments in cut]
             at = end
         return out
 

@@ -15,7 +15,8 @@ the shared folder, and both counting and scoring meet them by shuffles only:
 
 - A batch of documents (by a hash) packs its distinct pairs, by history, for the pairs'
   parts. Histories that make up a thousandth of all tokens and more (a thousand words at
-  most) are spread over parts by the next word as well.
+  most) are spread over parts by the next word as well. A pair is its history's 64-bit hash
+  and 48 bits of the next word's.
 - A part adds up its pairs, tallies counts of counts, and answers each batch with the counts
   of those pairs of the batch that are in the table.
 - Back-off weights are sums by history of table rows joined with the word table.
@@ -40,10 +41,13 @@ from pyspark.sql import functions as F
 from .base import WordHash, fold, mix, power_of_two, settle, size_hint, words_of
 
 K, LEAST = 5, 2
+#: Stored bytes of input a batch (some millions of tokens) and a part of the pairs.
+BATCH_BYTES, PART_BYTES = 6 << 20, 16 << 20
 #: No word holds a newline, so these can't be words.
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b"\n</s>", b"\n<s>"))
 _END = np.array([END], np.uint64)
 _START = np.array([START], np.uint64)
+_LAST, _UPPER = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xFFFFFFFFFFFF0000)
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
@@ -61,13 +65,34 @@ def _table(schema: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], _TYPES[t]) if c in columns else pa.nulls(n, _TYPES[t]) for c, t in _fields(schema)], names=[c for c, _ in _fields(schema)])
 
 
+def pack(x: np.ndarray) -> bytes:
+    """The upper 48 bits of hashes, in six bytes each."""
+    return (x >> np.uint64(32)).astype(np.uint32).tobytes() + ((x >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return (np.frombuffer(data, np.uint32, n).astype(np.uint64) << np.uint64(32)) | (np.frombuffer(data, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(16))
+
+
+def pack_counts(x: np.ndarray) -> bytes:
+    """Whole numbers in one, two or four bytes each, as the largest needs."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // n] if n else np.uint8).astype(np.int64)
+
+
 def tokens_of(text: bytes | None, known: WordHash) -> np.ndarray:
     words = words_of(text)
     return np.concatenate([known.of(words), _END]) if words else _END
 
 
 def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix((h * np.uint64(0x9E3779B97F4A7C15)) ^ w)
+    """Of a history's hash and the upper 48 bits of the next word's."""
+    return mix((h * np.uint64(0x9E3779B97F4A7C15)) ^ (w >> np.uint64(16)))
 
 
 def discounts(tallies: dict[int, int], least: int = 1, k: int = K) -> list[float]:
@@ -160,7 +185,7 @@ def _count_pairs(bits: int, hot: np.ndarray):
         rows: dict[str, list] = {"kind": [], "batch": [], "part": [], "data": [], "runs": [], "next": [], "counts": []}
         for a, b in zip(starts, np.append(starts[1:], len(h)), strict=True):
             heads = np.flatnonzero(np.concatenate([[True], h[a + 1 : b] != h[a : b - 1]]))
-            for name, value in (("kind", 1), ("batch", batch), ("part", int(part[a])), ("data", h[a:b][heads].tobytes()), ("runs", np.diff(np.append(heads, b - a)).astype(np.uint32).tobytes()), ("next", w[a:b].tobytes()), ("counts", c[a:b].tobytes())):
+            for name, value in (("kind", 1), ("batch", batch), ("part", int(part[a])), ("data", h[a:b][heads].tobytes()), ("runs", pack_counts(np.diff(np.append(heads, b - a)))), ("next", pack(w[a:b])), ("counts", pack_counts(c[a:b]))):
                 rows[name].append(value)
         words = np.unique(np.concatenate([h, w]))
         for name, value in (("kind", 4), ("batch", batch), ("part", batch % (1 << bits)), ("data", words.tobytes()), ("runs", None), ("next", None), ("counts", None)):
@@ -178,10 +203,11 @@ def _add_pairs(key, table):
     out = [on]
     if mine.num_rows:
         batches = mine.column("batch").to_pylist()
-        ws = [np.frombuffer(x, np.uint64) for x in mine.column("next").to_pylist()]
-        h = np.concatenate([np.repeat(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)) for a, b in zip(mine.column("data").to_pylist(), mine.column("runs").to_pylist(), strict=True)])
+        ws = [unpack(x) for x in mine.column("next").to_pylist()]
+        heads = [np.frombuffer(x, np.uint64) for x in mine.column("data").to_pylist()]
+        h = np.concatenate([np.repeat(a, unpack_counts(b, len(a))) for a, b in zip(heads, mine.column("runs").to_pylist(), strict=True)])
+        c = np.concatenate([unpack_counts(x, len(own)) for x, own in zip(mine.column("counts").to_pylist(), ws, strict=True)])
         w = np.concatenate(ws)
-        c = np.concatenate([np.frombuffer(x, np.uint32) for x in mine.column("counts").to_pylist()])
         pair = pair_hash(h, w)
         order = np.argsort(pair, kind="stable")
         sorted_pair = pair[order]
@@ -200,7 +226,7 @@ def _add_pairs(key, table):
             found = a + np.flatnonzero(of_all[a : a + len(own)] >= LEAST)
             a += len(own)
             if len(found):
-                for name, value in (("kind", 1), ("batch", batch), ("data", pair[found].tobytes()), ("counts", np.minimum(of_all[found], 0xFFFFFFFF).astype(np.uint32).tobytes())):
+                for name, value in (("kind", 1), ("batch", batch), ("data", pack(pair[found])), ("counts", pack_counts(np.minimum(of_all[found], 0xFFFFFFFF)))):
                     rows[name].append(value)
         out.append(_table(_COUNTED, **rows))
     schema = pa.schema([(n, _TYPES[t]) for n, t in _fields(_COUNTED)])
@@ -224,15 +250,15 @@ def _score(words: Words, pair_d: list[float]):
         info = table.filter(pa.array(kinds == 2))
         vocabulary = info.column("word").to_numpy().view(np.uint64)
         order = np.argsort(vocabulary)
-        vocabulary = np.append(vocabulary[order], np.uint64(0xFFFFFFFFFFFFFFFF))
+        vocabulary = np.append(vocabulary[order], _LAST)
         counts = np.append(info.column("c").to_numpy()[order], 0)
         wholes = np.append(info.column("whole").to_numpy()[order], 1.0)
         weights = np.append(info.column("weight").to_numpy()[order], 1.0)
         answers = table.filter(pa.array(kinds == 1))
-        pairs = [np.frombuffer(x, np.uint64) for x in answers.column("data").to_pylist()]
-        pairs = np.append(np.concatenate(pairs) if pairs else np.zeros(0, np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF))
-        found = [np.frombuffer(x, np.uint32) for x in answers.column("counts").to_pylist()]
-        found = np.append(np.concatenate(found) if found else np.zeros(0, np.uint32), 0).astype(np.int64)
+        pairs = [unpack(x) for x in answers.column("data").to_pylist()]
+        found = [unpack_counts(x, len(p)) for x, p in zip(answers.column("counts").to_pylist(), pairs, strict=True)]
+        pairs = np.append(np.concatenate(pairs) if pairs else np.zeros(0, np.uint64), _LAST)
+        found = np.append(np.concatenate(found) if found else np.zeros(0, np.int64), 0)
         order = np.argsort(pairs, kind="stable")
         pairs, found = pairs[order], found[order]
         docs = table.filter(pa.array(kinds == 0))
@@ -246,7 +272,7 @@ def _score(words: Words, pair_d: list[float]):
             has = vocabulary[at_h] == h
             whole, weight = np.where(has, wholes[at_h], 1.0), np.where(has, weights[at_h], 1.0)
             single = np.where(c > 0, words.probability(c), words.unknown)
-            pair = pair_hash(h, w)
+            pair = pair_hash(h, w) & _UPPER
             at = np.searchsorted(pairs, pair)
             c_hw = np.where(pairs[at] == pair, found[at], 0)
             p = np.where(c_hw >= LEAST, discounted(c_hw, pair_d) / whole, weight * single)
@@ -260,8 +286,8 @@ def _score(words: Words, pair_d: list[float]):
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, held_out: int = 0) -> DataFrame:
     """Base and Katz log10 probability of every row's text; training rows are those whose crc32(id) mod ``modulus`` isn't ``held_out``."""
     bytes_in = size_hint(docs)
-    batches = max(256, bytes_in // (4 << 20))
-    bits = int(math.log2(power_of_two(bytes_in / (32 << 20), 256, 1 << 20)))
+    batches = max(48, bytes_in // BATCH_BYTES)
+    bits = int(math.log2(power_of_two(bytes_in / PART_BYTES, 64, 1 << 20)))
     base = docs.select(F.col(id_col).cast("long").alias("id"), (fold(docs, id_col, modulus) == held_out).alias("held"), F.col(text_col).cast("string").cast("binary").alias("text"))
     base = base.withColumn("held", F.when(F.col("id").isNull(), F.lit(False)).otherwise(F.col("held")))
 
@@ -283,7 +309,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     ends = table.filter(F.col("word") == signed(END)).first()
     starts = ends["c"] if ends else 0  # as many starts as ends
     history = table.unionByName(docs.sparkSession.range(1).select(F.lit(signed(START)).alias("word"), F.lit(starts).cast("long").alias("c")))
-    after = pairs.filter("kind = 2").select("h", F.col("w").alias("word"), F.col("c").alias("hw")).join(table, "word")
+    # pairs hold the upper 48 bits of a word's hash
+    short = table.groupBy(F.shiftrightunsigned("word", 16).alias("w")).agg(F.max("c").alias("c"))
+    after = pairs.filter("kind = 2").select("h", F.shiftrightunsigned("w", 16).alias("w"), F.col("c").alias("hw")).join(short, "w")
     kept = after.select("h", discounted(F.col("hw"), pair_d).alias("of_pairs"), words.probability(F.col("c")).alias("of_words")).groupBy("h").agg(F.sum("of_pairs").alias("of_pairs"), F.sum("of_words").alias("of_words"))
     # a history whose pairs leave less than half a count (all of them common) counts one more, for what was not seen
     whole = F.when(F.col("c") - F.col("of_pairs") < 0.5, F.col("c") + 1.0).otherwise(F.col("c").cast("double"))

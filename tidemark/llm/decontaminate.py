@@ -3,9 +3,9 @@
 Every document is cut into overlapping passages (each at least as long as the longest
 item, stepping by half), and every passage is a query against the index of test items.
 Scores are BM25 as a share of the item's own best score, so one threshold fits items of any
-length; all items at or above it are retrieved. Pruning is exact: first the sum of the
-passage's largest impacts a term, then sums of largest impacts a block of items, must reach
-the threshold before anything is scored. A retrieved item is verified by the share of its
+length; all items at or above it are retrieved. Pruning is exact: for every passage the largest
+impacts of its terms in a block of items are added up (many passages at once), and only
+items of blocks whose bound reaches the threshold are scored. A retrieved item is verified by the share of its
 question's and of its answer's five-word shingles that stand in the document's passage
 widened on both sides by the item's length; both must reach ``overlap``.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from .base import settle
 
 THRESHOLD, OVERLAP, GRAM = 0.5, 0.5, 5
-K1, B, BLOCK = 1.2, 0.75, 32
+K1, B, BLOCK = 1.2, 0.75, 8
+#: Passages whose bounds are added up together.
+SLAB = 256
 SHARD_BYTES = 8 << 20
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -86,41 +89,58 @@ class Index:
             block, start = np.unique(items_of // BLOCK, return_index=True)
             self.blocks.append(block)
             self.block_max.append(np.maximum.reduceat(impacts, start))
-        self.most = np.array([x.max() for x in self.impacts] + [0.0])
-        self.window = max(64, max(self.lengths, default=0))
-
-    def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """All items whose score for the distinct ``terms`` is at least ``threshold``."""
-        if self.most[terms].sum() < threshold:
-            return []
-        bounds = np.bincount(np.concatenate([self.blocks[t] for t in terms]), weights=np.concatenate([self.block_max[t] for t in terms]))
-        live = bounds >= threshold
-        if not live.any():
-            return []
+        sizes = [len(b) for b in self.blocks]
+        self.first, self.many = np.cumsum(sizes) - sizes, np.array(sizes, np.int64)
+        self.flat_blocks = np.concatenate(self.blocks) if sizes else np.zeros(0, np.int64)
+        self.flat_max = np.concatenate(self.block_max) if sizes else np.zeros(0)
+        self.n_blocks = -(-len(items) // BLOCK)
+        self.step = max(32, -(-max(self.lengths, default=0) // 2))
+
+    def live(self, passages: np.ndarray, terms: np.ndarray, n: int, threshold: float) -> np.ndarray:
+        """passage x block: whether the block's bound reaches the threshold. (passages, terms): distinct pairs."""
+        many = self.many[terms]
+        at = np.repeat(self.first[terms] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        cell = np.repeat(passages * self.n_blocks, many) + self.flat_blocks[at]
+        return np.bincount(cell, weights=self.flat_max[at], minlength=n * self.n_blocks).reshape(n, self.n_blocks) >= threshold
+
+    def search(self, terms: np.ndarray, live: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """All items of live blocks whose score for the distinct ``terms`` is at least ``threshold``."""
         items, impacts = np.concatenate([self.items[t] for t in terms]), np.concatenate([self.impacts[t] for t in terms])
         inside = live[items // BLOCK]
         scores = np.bincount(items[inside], weights=impacts[inside])
         return [(int(i), float(scores[i])) for i in np.flatnonzero(scores >= threshold)]
 
+    def candidates(self, ids: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
+        """(first word of the passage, item, score) of every passage and item that reach the threshold."""
+        at = np.flatnonzero(ids >= 0)
+        slack, total = threshold * (1 - 1e-9), max(1, -(-len(ids) // self.step) - 1)
+        pairs = np.concatenate([at // self.step, at // self.step - 1])
+        terms = np.concatenate([ids[at], ids[at]])
+        inside = (pairs >= 0) & (pairs < total)
+        pairs = np.unique(pairs[inside] * len(self.term) + terms[inside])
+        passages, terms = pairs // max(1, len(self.term)), pairs % max(1, len(self.term))
+        for low in range(0, total, SLAB):
+            a, b = np.searchsorted(passages, [low, low + SLAB])
+            if a == b:
+                continue
+            live = self.live(passages[a:b] - low, terms[a:b], SLAB, slack)
+            for k in np.flatnonzero(live.any(axis=1)):
+                i, j = np.searchsorted(passages, [low + k, low + k + 1])
+                for item, score in self.search(terms[i:j], live[k], slack):
+                    yield (low + int(k)) * self.step, item, score
+
     def matches(self, text: bytes, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
         """(item, score, question overlap, answer overlap) of every verified item."""
         words = words_of(text)
         if not words:
             return []
-        ids = np.fromiter((self.term.get(w, -1) for w in words), np.int64, len(words))
-        step = self.window // 2
-        sums = np.concatenate([[0.0], np.cumsum(self.most[ids])])
-        starts = np.arange(0, max(1, len(words) - step), step)
-        ends = np.minimum(starts + self.window, len(words))
+        ids = np.fromiter(map(self.term.get, words, repeat(-1)), np.int64, len(words))
         best: dict[int, float] = {}
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        slack = threshold * (1 - 1e-9)
-        for k in np.flatnonzero(sums[ends] - sums[starts] >= slack):
-            part = ids[starts[k] : ends[k]]
-            for item, score in self.search(np.unique(part[part >= 0]), slack):
-                best[item] = max(best.get(item, 0.0), score)
-                wide = self.lengths[item]
-                places[item].append((max(0, int(starts[k]) - wide), min(len(words), int(ends[k]) + wide)))
+        for start, item, score in self.candidates(ids, threshold):
+            best[item] = max(best.get(item, 0.0), score)
+            wide = self.lengths[item]
+            places[item].append((max(0, start - wide), min(len(words), start + 2 * self.step + wide)))
         out = []
         for item, score in best.items():
             question, answer = self.parts[item]

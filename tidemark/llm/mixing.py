@@ -69,11 +69,11 @@ def sainte_lague(parties: DataFrame, by: list[str], key: list[str], votes: str,
     """
     group = Window.partitionBy(*by) if by else Window.partitionBy()
     half = F.col("__parties") / 2
-    sure = F.floor(F.col(votes) / F.col("__votes") * (F.col(seats) - half) + 0.5).cast("long") - 1
+    sure = F.floor(F.try_divide(F.col(votes), F.col("__votes")) * (F.col(seats) - half) + 0.5).cast("long") - 1
     based = parties.withColumn("__votes", F.sum(votes).over(group)).withColumn("__parties", F.count(F.lit(1)).over(group))
     based = based.withColumn("__sure", F.when(F.col("__votes") > 0, F.greatest(F.lit(0), F.least(F.col(most), sure))).otherwise(F.lit(0)).cast("long"))
     based = based.withColumn("__left", F.col(seats) - F.sum("__sure").over(group))
-    room = F.least(F.col(most) - F.col("__sure"), F.ceil(F.col(votes) / F.col("__votes") * F.col("__parties")).cast("long") + 8)
+    room = F.least(F.col(most) - F.col("__sure"), F.ceil(F.try_divide(F.col(votes), F.col("__votes")) * F.col("__parties")).cast("long") + 8)
     races = based.withColumn("__k", F.explode_outer(F.when((room > 0) & (F.col(votes) > 0), F.sequence(F.lit(0), room.cast("int") - 1))))
     quotient = F.col(votes) / (2 * (F.col("__sure") + F.col("__k")) + 1)
     rank = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(F.desc_nulls_last("__quotient"), *key, "__k")

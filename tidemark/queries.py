@@ -298,7 +298,7 @@ def precision_flag(spark, sf_dir):
 
 @query("""SELECT 'l_quantity' AS series, min(l_quantity) = max(l_quantity) AS constant FROM lineitem UNION ALL SELECT 'one', TRUE UNION ALL SELECT 'zero', FALSE""")
 def is_constant(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", F.lit(1).alias("one"), F.when(F.col("l_linenumber") == 1, "-0.0").otherwise("0.0").cast("double").alias("zero"))
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", F.lit(1).alias("one"), F.when(F.col("l_linenumber") == 1, -(F.col("l_quantity") * 0.0)).otherwise(F.col("l_quantity") * 0.0).alias("zero"))
     return anomaly.is_constant(df, ["l_quantity", "one", "zero"])
 
 

@@ -174,3 +174,11 @@ class TestWelch:
 def test_constant_compares_bits(spark):
     df = spark.createDataFrame([(math.nan, 0.0, "x"), (math.nan, -0.0, "x")], "a double, b double, c string")
     assert {r["series"]: r["constant"] for r in anomaly.is_constant(df, ["a", "b", "c"]).collect()} == {"a": True, "b": False, "c": True}
+
+
+def test_cursor_reads_exact_values(spark):
+    rows = [(i, 1_770_000_000_000_000_000 + i * 10**9, 7200, 2**53 + 1 + i) for i in range(5)]
+    df = spark.createDataFrame(rows, "row_id long, tick long, offset_seconds int, v long")
+    got = viewport.cursor(df, 1_770_000_000_000_000_000 + 2 * 10**9 + 400, ["v"], "iso8601", "ns").first()
+    assert tuple(got) == (2, "2026-02-02T04:40:02+02:00", "9007199254740995")
+    assert viewport.point(df, 4, ["v"]).first()["v"] == "9007199254740997"

@@ -176,3 +176,18 @@ def state_columns(df: DataFrame, low, high, k: int, state: str, by: list[str] |
     several = (F.col("m") > 0) & ((F.col("a") != F.col("b")) | (F.col("m") < F.col("n")))
     return both.select(*by, "column", F.when(~several, F.col("a")).alias("state"), several.alias("multiple"))
 
+
+
+def point(df: DataFrame, row: int, columns: list[str], order: str = "row_id") -> DataFrame:
+    """The exact native values of ``columns`` in one row, as text (integers never pass through doubles)."""
+    return df.filter(F.col(order) == row).select(order, *[F.col(c).cast("string").alias(c) for c in columns])
+
+
+def cursor(df: DataFrame, target, columns: list[str], fmt: str, unit: str, tick: str = "tick", order: str = "row_id") -> DataFrame:
+    """What a cursor reads: the nearest row's time in the column's own format, with its own offset, and its exact values."""
+    from ..functions.timestamps import format_ticks
+
+    offset = F.col("offset_seconds") if "offset_seconds" in df.columns else F.lit(None).cast("int").alias("offset_seconds")
+    found = nearest(df.select(order, tick, offset, *columns), target, None, tick, order)
+    stamp = F.struct(F.col(tick).cast("decimal(38,0)").alias("ticks"), F.lit(unit).alias("unit"), F.col("offset_seconds"))
+    return found.withColumn("__stamp", stamp).select(order, format_ticks(F.col("__stamp"), fmt).alias("time"), *[F.col(c).cast("string").alias(c) for c in columns])

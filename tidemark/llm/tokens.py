@@ -4,7 +4,7 @@ A place between a character and a single space that follows it is always a token
 every pattern of byte-level pre-tokenisation that takes a character other than white space
 ends before white space, and no special string contains any (checked). Ordinary texts are cut there, and
 each distinct segment is encoded once by the library and remembered. A text longer than ``chunk`` characters is encoded in
-overlapping chunks with offsets. Two neighbours are spliced at a position inside their
+overlapping chunks, the overlaps with offsets. Two neighbours are spliced at a position inside their
 overlap that is a token boundary in both and that is proven stable: a letter stands before
 it and white space or plain punctuation after it. Byte-level pre-tokenisation ends a run of
 letters at such a place whatever stands around it, and no special string may contain one
@@ -20,6 +20,7 @@ clashing names are replaced by the result's.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +33,7 @@ OVERLAP = 256
 GROUP = 1 << 20
 #: Remembered segments; beyond that many they are forgotten and encoded anew.
 KNOWN = 500_000
+_TWO_SPACES = re.compile(r"\s ")
 #: Marks after a letter that end a token.
 MARKS = " \n\t\r.,;:!?)]}。、，"
 
@@ -47,17 +49,17 @@ class Counter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chunk, self.overlap = chunk, overlap
-        self.known: dict[str, int] = {}
+        self.spaced: dict[str, int] = {}
         for added in self.tokenizer.get_added_tokens_decoder().values():
             text = str(added.content)
             if any(text[i - 1].isalpha() and text[i] in MARKS for i in range(1, len(text))) or any(c.isspace() for c in text) or text[:1] in MARKS or added.lstrip or added.rstrip:
                 raise ValueError(f"special string {text!r} allows no stable boundary")
 
-    def segments(self, text: str) -> list[str]:
-        """The text cut before every space that follows a character other than white space."""
+    def segments(self, text: str) -> tuple[str, list[str]]:
+        """The text cut before every space that follows a character other than white space: the first piece, and the others without their space."""
         pieces = text.split(" ")
-        if all(pieces) and not any(p[-1].isspace() for p in pieces):
-            return [pieces[0], *map(" ".__add__, pieces[1:])]
+        if pieces[0] and not _TWO_SPACES.search(text):
+            return pieces[0], pieces[1:]
         out, held = [], pieces[0]
         for piece in pieces[1:]:
             if held and not held[-1].isspace():
@@ -65,7 +67,18 @@ class Counter:
                 held = " " + piece
             else:
                 held += " " + piece
-        return [*out, held] if held else out
+        out.append(held)
+        return out[0], [s[1:] for s in out[1:]]
+
+    def _count(self, texts: list[str]) -> list[int]:
+        """Whole texts, by their segments."""
+        cut = [self.segments(t) for t in texts]
+        if len(self.spaced) > KNOWN:
+            self.spaced.clear()
+        new = [s for s in set().union(*(rest for _, rest in cut)) if s not in self.spaced]
+        self.spaced.update(zip(new, map(len, self.tokenizer.encode_batch_fast([" " + s for s in new], add_special_tokens=False)), strict=True))
+        first = map(len, self.tokenizer.encode_batch_fast([f for f, _ in cut], add_special_tokens=False))
+        return [n + sum(map(self.spaced.__getitem__, rest)) for n, (_, rest) in zip(first, cut, strict=True)]
 
     def counts(self, texts: list[str]) -> list[int]:
         out, at = [0] * len(texts), 0
@@ -78,12 +91,7 @@ class Counter:
             while end < len(texts) and len(texts[end]) <= self.chunk and (end == at or chars + len(texts[end]) <= GROUP):
                 chars += len(texts[end])
                 end += 1
-            cut = [self.segments(t) for t in texts[at:end]]
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            new = [s for s in {s for segments in cut for s in segments} if s not in self.known]
-            self.known.update(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            out[at:end] = [sum(map(self.known.__getitem__, segments)) for segments in cut]
+            out[at:end] = self._count(texts[at:end])
             at = end
         return out
 
@@ -93,28 +101,26 @@ class Counter:
 
     def count_long(self, text: str) -> int:
         total, at, size, n = 0, 0, self.chunk, len(text)
-        while True:  # text[:at] is counted; at is a stable boundary or 0
-            end = min(n, at + size)
-            starts, ends = self._spans(text, at, end)
-            if end == n:
-                return total + len(starts)
-            place = self._splice(text, at, end, set(ends))
+        while at + size < n:  # text[:at] is counted; at is a stable boundary or 0
+            place = self._splice(text, at, at + size)
             if place is None:  # no agreement within this chunk: take a longer one
                 size *= 2
                 continue
-            total += sum(1 for s in starts if s < place)
+            total += self._count([text[at:place]])[0]
             at, size = place, self.chunk
+        return total + self._count([text[at:]])[0]
 
-    def _splice(self, text: str, at: int, end: int, left_ends: set[int]) -> int | None:
-        """The last stable boundary on which this chunk and the next one agree."""
+    def _splice(self, text: str, at: int, end: int) -> int | None:
+        """The last stable boundary before ``end`` on which encodings of the text before and across it agree."""
         overlap = self.overlap
         while True:
             low = max(at + 1, end - overlap)
-            stable = [p for p in range(end - 1, low, -1) if text[p] in MARKS and text[p - 1].isalpha() and p in left_ends]
+            stable = [p for p in range(end - 1, low, -1) if text[p] in MARKS and text[p - 1].isalpha()]
             if stable:
+                left_ends = set(self._spans(text, max(at, end - 2 * overlap), end)[1])
                 right_starts = set(self._spans(text, low, min(len(text), end + overlap))[0])
                 for p in stable:
-                    if p in right_starts:
+                    if p in left_ends and p in right_starts:
                         return p
             if low == at + 1:
                 return None

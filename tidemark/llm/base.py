@@ -9,6 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word: a run of anything but the ASCII white space space, \t, \n, \v, \f, \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,21 +31,32 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, packed: bool = False, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
     This cuts the lineage at a place that survives the loss of executors, and gives the
     planner the real size, so it broadcasts the table only below the session's threshold.
-    The shuffle files of the job just ended are released at once.
+    The shuffle files of the job just ended are released at once. ``packed`` compresses
+    harder; ``by`` partitions the table by a column.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd") if packed else df.write
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    fields = [f for f in df.schema.fields if f.name != by] + [f for f in df.schema.fields if f.name == by]
+    out = spark.read.schema(StructType(fields)).parquet(path).select(*df.columns)
+    out.settled_at = path
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def discard(df: DataFrame, part: str = "") -> None:
+    """Delete a settled table, or one partition folder of it, that no later step reads."""
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.settled_at + part)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def size_hint(df: DataFrame) -> int:
     """Bytes of the input as the planner sees them (file sizes for Parquet)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -63,7 +75,7 @@ def fold(df: DataFrame, column: str, modulus: int) -> Column:
 class WordHash(dict):
     """bytes -> 64-bit hash, computed once per distinct word; emptied when large."""
 
-    limit = 1_000_000
+    limit = 400_000
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)

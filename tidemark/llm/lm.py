@@ -10,17 +10,19 @@ the words of those pairs leave of the word distribution, so every history's dist
 sums to one. A history all of whose pairs are too common to be discounted counts once more
 than it was seen, so something is left for the unseen.
 
-Counts come from every training row. Tables (words, pairs, weights) are Parquet tables in
-the shared folder, and both counting and scoring meet them by shuffles only:
-
-- A batch of documents (by a hash) packs its distinct pairs, by history, for the pairs'
-  parts. Histories that make up a thousandth of all tokens and more (a thousand words at
-  most) are spread over parts by the next word as well. A pair is its history's 64-bit hash
-  and 48 bits of the next word's.
+Counts come from every training row. Texts are read and hashed once: a batch of some
+documents becomes one row of a table, with its words and, for each token, the word's number
+(frequent words have small numbers, so this is much smaller than the text). All tables
+(batches, words, pairs, weights) are Parquet tables in the shared folder, and both counting
+and scoring meet them by shuffles only:
+
+- A batch packs its distinct pairs, by history, for the pairs' parts. Histories that make up
+  a thousandth of all tokens and more (a thousand words at most) are spread over parts by
+  the next word as well. A pair is its history's 64-bit hash and 48 bits of the next word's.
 - A part adds up its pairs, tallies counts of counts, and answers each batch with the counts
-  of those pairs of the batch that are in the table.
+  of its pairs, in the order in which they came.
 - Back-off weights are sums by history of table rows joined with the word table.
-- Every batch then meets its answers and its words' counts and weights, and scores its texts.
+- Every batch then meets its answers and its words' counts and weights, and scores its documents.
 
 Defined results: null and empty texts are one end token; repeated rows are scored each; rows
 with a null id count as training rows; an empty training set gives every text score 0.0 and base score 0.0; an
@@ -35,19 +37,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WordHash, fold, mix, power_of_two, settle, size_hint, words_of
+from .base import WordHash, discard, fold, mix, power_of_two, settle, size_hint, words_of
 
 K, LEAST = 5, 2
-#: Stored bytes of input a batch (some millions of tokens) and a part of the pairs.
-BATCH_BYTES, PART_BYTES = 6 << 20, 16 << 20
+#: Tokens a batch, and stored bytes of input a part of the pairs.
+BATCH_TOKENS, PART_BYTES = 1_500_000, 8 << 20
 #: No word holds a newline, so these can't be words.
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b"\n</s>", b"\n<s>"))
 _END = np.array([END], np.uint64)
 _START = np.array([START], np.uint64)
-_LAST, _UPPER = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xFFFFFFFFFFFF0000)
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
@@ -76,13 +78,12 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_counts(x: np.ndarray) -> bytes:
-    """Whole numbers in one, two or four bytes each, as the largest needs."""
-    most = int(x.max()) if len(x) else 0
-    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+    """Whole numbers below 2^32 as four runs of bytes: the upper ones are mostly zero and compress to nothing."""
+    return np.ascontiguousarray(np.asarray(x).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def unpack_counts(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // n] if n else np.uint8).astype(np.int64)
+def unpack_counts(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
 def tokens_of(text: bytes | None, known: WordHash) -> np.ndarray:
@@ -134,79 +135,133 @@ class Words:
         return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHash()
-    held: list[np.ndarray] = []
-    tokens = 0
+_BATCH = "batch long, words binary, tokens binary, lengths binary, held binary, ids array<long>"
+
+
+def _batches(held_docs: int = 1 << 16):
+    def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, number = WordHash(), TaskContext.get().partitionId() << 20
+        tokens: list[np.ndarray] = []
+        ids: list[int | None] = []
+        held: list[bool] = []
+        total = 0
+
+        def emit() -> pa.RecordBatch:
+            words, inverse, counts = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")  # frequent words first
+            rank = np.empty(len(words), np.uint32)
+            rank[order] = np.arange(len(words), dtype=np.uint32)
+            row = {"batch": number, "words": words[order].tobytes(), "tokens": pack_counts(rank[inverse]), "lengths": np.array([len(t) for t in tokens], np.uint32).tobytes(), "held": np.array(held, np.uint8).tobytes(), "ids": list(ids)}
+            kinds = {"batch": pa.int64(), "ids": pa.list_(pa.int64())}
+            tokens.clear()
+            ids.clear()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()], names=list(row))
+
+        for record in records:
+            for d, h, text in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), record.column(2), strict=True):
+                tokens.append(tokens_of(text.as_py(), known))
+                ids.append(d)
+                held.append(h)
+                total += len(tokens[-1])
+                if total >= BATCH_TOKENS or len(tokens) >= held_docs:
+                    yield emit()
+                    number, total = number + 1, 0
+        if tokens:
+            yield emit()
 
-    def flush() -> pa.RecordBatch:
-        words, counts = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        return _table("word long, n long", word=words.view(np.int64), n=counts)
-
-    for batch in batches:
-        for text in batch.column(0):
-            held.append(tokens_of(text.as_py(), known))
-            tokens += len(held[-1])
-            if tokens > 1_000_000:
-                yield flush()
-                tokens = 0
-    if held:
-        yield flush()
+    return run
+
+
+class Batch:
+    """A row of the table of batches, unpacked."""
+
+    def __init__(self, words: bytes, tokens: bytes, lengths: bytes, held: bytes):
+        self.words = np.frombuffer(words, np.uint64)
+        self.tokens = unpack_counts(tokens)
+        self.lengths = np.frombuffer(lengths, np.uint32).astype(np.int64)
+        self.held = np.frombuffer(held, np.uint8).astype(bool)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def histories(self) -> np.ndarray:
+        """The number of the word before each token; that of a document's start is one past the words'."""
+        out = np.concatenate([[len(self.words)], self.tokens[:-1]]).astype(np.uint32)
+        out[self.starts] = len(self.words)
+        return out
+
+    def hashes(self) -> np.ndarray:
+        return np.append(self.words, np.uint64(START))
+
+
+def _rows(record: pa.RecordBatch) -> Iterator[tuple[int, Batch]]:
+    for values in zip(*(record.column(c) for c in ("batch", "words", "tokens", "lengths", "held")), strict=True):
+        number, *rest = (v.as_py() for v in values)
+        yield number, Batch(*rest)
+
+
+def _count_words(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for record in records:
+        for _, batch in _rows(record):
+            counts = np.bincount(batch.tokens[np.repeat(~batch.held, batch.lengths)], minlength=len(batch.words))
+            some = counts > 0
+            for a in range(0, int(some.sum()), 50_000):
+                yield _table("word long, n long", word=batch.words[some][a : a + 50_000].view(np.int64), n=counts[some][a : a + 50_000])
 
 
 _COUNTED = "kind int, batch long, part long, h long, w long, c long, data binary, counts binary, runs binary, next binary"
 
 
-def _count_pairs(bits: int, hot: np.ndarray):
-    """For one batch: kind 1, its distinct pairs by history for the parts; kind 4, its words."""
+def distinct_pairs(batch: Batch, bits: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(histories' hashes, words' hashes, parts) of the batch's distinct pairs, by part and history; and each token's place among them."""
+    size = len(batch.words) + 1
+    pair = batch.histories().astype(np.int64) * size + batch.tokens
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    new = np.concatenate([[True], pair[1:] != pair[:-1]])
+    hashes = batch.hashes()
+    distinct = pair[new]
+    h, w = hashes[distinct // size], hashes[distinct % size]
+    spread = mix(h)
+    many = np.isin(h, hot)
+    spread[many] = mix(h[many] ^ (mix(w[many]) >> np.uint64(56)))
+    part = (spread >> np.uint64(64 - bits)).astype(np.int64)
+    by_part = np.argsort(part, kind="stable")  # pairs of a history stay together
+    rank = np.empty(len(by_part), np.int32)
+    rank[by_part] = np.arange(len(by_part), dtype=np.int32)
+    place = np.empty(len(pair), np.int32)
+    place[order] = rank[np.cumsum(new, dtype=np.int32) - 1]
+    return h[by_part], w[by_part], part[by_part], place
 
-    def run(key, table):
-        batch, known = key[0].as_py(), WordHash()
-        h, w, train = [], [], []
-        for text, held in zip(table.column("text"), table.column("held").to_pylist(), strict=True):
-            tokens = tokens_of(text.as_py(), known)
-            h += [_START, tokens[:-1]]
-            w.append(tokens)
-            train.append(np.full(len(tokens), not held))
-        h, w, train = np.concatenate(h), np.concatenate(w), np.concatenate(train)
-        order = np.lexsort((w, h))
-        h, w, train = h[order], w[order], train[order]
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
-        c = np.add.reduceat(train.astype(np.uint32), first).astype(np.uint32)
-        h, w = h[first], w[first]
-        place = mix(h)
-        many = np.isin(h, hot)
-        place[many] = mix(h[many] ^ (mix(w[many]) >> np.uint64(56)))
-        part = (place >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        h, w, c, part = h[order], w[order], c[order], part[order]
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        rows: dict[str, list] = {"kind": [], "batch": [], "part": [], "data": [], "runs": [], "next": [], "counts": []}
-        for a, b in zip(starts, np.append(starts[1:], len(h)), strict=True):
-            heads = np.flatnonzero(np.concatenate([[True], h[a + 1 : b] != h[a : b - 1]]))
-            for name, value in (("kind", 1), ("batch", batch), ("part", int(part[a])), ("data", h[a:b][heads].tobytes()), ("runs", pack_counts(np.diff(np.append(heads, b - a)))), ("next", pack(w[a:b])), ("counts", pack_counts(c[a:b]))):
-                rows[name].append(value)
-        words = np.unique(np.concatenate([h, w]))
-        for name, value in (("kind", 4), ("batch", batch), ("part", batch % (1 << bits)), ("data", words.tobytes()), ("runs", None), ("next", None), ("counts", None)):
-            rows[name].append(value)
-        return pa.Table.from_batches([_table(_COUNTED, **rows)])
+
+def _count_pairs(bits: int, hot: np.ndarray):
+    """For every batch: its distinct pairs by history, for the parts."""
+
+    def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in records:
+            for number, batch in _rows(record):
+                h, w, part, place = distinct_pairs(batch, bits, hot)
+                c = np.bincount(place[np.repeat(~batch.held, batch.lengths)], minlength=len(h))
+                starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                rows: dict[str, list] = {"kind": [], "batch": [], "part": [], "data": [], "runs": [], "next": [], "counts": []}
+                for a, b in zip(starts, np.append(starts[1:], len(h)), strict=True):
+                    heads = np.flatnonzero(np.concatenate([[True], h[a + 1 : b] != h[a : b - 1]]))
+                    for name, value in (("kind", 1), ("batch", number), ("part", int(part[a])), ("data", h[a:b][heads].tobytes()), ("runs", pack_counts(np.diff(np.append(heads, b - a)))), ("next", pack(w[a:b])), ("counts", pack_counts(c[a:b]))):
+                        rows[name].append(value)
+                for a in range(0, len(starts), 512):
+                    yield _table(_COUNTED, **{k: v[a : a + 512] for k, v in rows.items()})
 
     return run
 
 
 def _add_pairs(key, table):
-    """For one part: kind 1, answers to batches; kind 2, table rows (h, w, c); kind 3, counts of counts (h = r, c). Kind 4 passes on."""
-    kinds = np.array(table.column("kind").to_pylist())
-    on = table.filter(pa.array(kinds == 4))
-    mine = table.filter(pa.array(kinds == 1))
-    out = [on]
+    """For one part: kind 1, answers to batches; kind 2, table rows (h, w, c); kind 3, counts of counts (h = r, c)."""
+    mine, out = table, []
     if mine.num_rows:
         batches = mine.column("batch").to_pylist()
         ws = [unpack(x) for x in mine.column("next").to_pylist()]
         heads = [np.frombuffer(x, np.uint64) for x in mine.column("data").to_pylist()]
-        h = np.concatenate([np.repeat(a, unpack_counts(b, len(a))) for a, b in zip(heads, mine.column("runs").to_pylist(), strict=True)])
-        c = np.concatenate([unpack_counts(x, len(own)) for x, own in zip(mine.column("counts").to_pylist(), ws, strict=True)])
+        h = np.concatenate([np.repeat(a, unpack_counts(b)) for a, b in zip(heads, mine.column("runs").to_pylist(), strict=True)])
+        c = np.concatenate([unpack_counts(x) for x in mine.column("counts").to_pylist()])
         w = np.concatenate(ws)
         pair = pair_hash(h, w)
         order = np.argsort(pair, kind="stable")
@@ -220,88 +275,115 @@ def _add_pairs(key, table):
         out.append(_table(_COUNTED, kind=np.full(len(at), 2, np.int32), h=h[at].view(np.int64), w=w[at].view(np.int64), c=total[kept]))
         of_all = np.empty(len(pair), np.int64)
         of_all[order] = np.repeat(total, np.diff(np.append(first, len(pair))))
-        rows: dict[str, list] = {"kind": [], "batch": [], "data": [], "counts": []}
-        a = 0
+        # for each pair of a batch, in its own order, the count; 0 if it isn't in the table
+        known, a = np.where(of_all >= LEAST, np.minimum(of_all, 0xFFFFFFFF), 0), 0
+        rows: dict[str, list] = {"kind": [], "batch": [], "part": [], "counts": []}
         for batch, own in zip(batches, ws, strict=True):
-            found = a + np.flatnonzero(of_all[a : a + len(own)] >= LEAST)
+            for name, value in (("kind", 1), ("batch", batch), ("part", key[0].as_py()), ("counts", pack_counts(known[a : a + len(own)]))):
+                rows[name].append(value)
             a += len(own)
-            if len(found):
-                for name, value in (("kind", 1), ("batch", batch), ("data", pack(pair[found])), ("counts", pack_counts(np.minimum(of_all[found], 0xFFFFFFFF)))):
-                    rows[name].append(value)
         out.append(_table(_COUNTED, **rows))
     schema = pa.schema([(n, _TYPES[t]) for n, t in _fields(_COUNTED)])
     return pa.concat_tables([t.cast(schema) if isinstance(t, pa.Table) else pa.Table.from_batches([t]) for t in out])
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for record in batches:
-        for batch, data in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), strict=True):
-            words = np.frombuffer(data, np.int64)
-            yield _table("batch long, word long", batch=np.full(len(words), batch), word=words)
+def _places(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, batch and the word's place in it; a document's start stands after the words."""
+    for record in records:
+        for number, batch in _rows(record):
+            words = batch.hashes().view(np.int64)
+            for a in range(0, len(words), 50_000):
+                part = words[a : a + 50_000]
+                yield _table("word long, batch long, place int", word=part, batch=np.full(len(part), number), place=np.arange(a, a + len(part), dtype=np.int32))
+
+
+_INFO = "batch long, places binary, counts binary, whole binary, weight binary"
+
+
+def _pack_info(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (batch, place, c, whole, weight) of a task packed by batch."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        held.clear()
+        batch, place, c, whole, weight = (table.column(n).to_numpy() for n in ("batch", "place", "c", "whole", "weight"))
+        order = np.argsort(batch, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], batch[order][1:] != batch[order][:-1]]))
+        rows: dict[str, list] = {"batch": [], "places": [], "counts": [], "whole": [], "weight": []}
+        for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
+            some = order[a:b]
+            some = some[np.argsort(place[some])]
+            # a history counts as often as its word (0: no pairs), or once more
+            more = np.where(np.isnan(weight[some]), 0, 1 + (whole[some] > c[some]))
+            for name, value in (("batch", int(batch[some[0]])), ("places", pack_counts(np.diff(place[some], prepend=0))), ("counts", pack_counts(c[some])), ("whole", more.astype(np.uint8).tobytes()), ("weight", weight[some][more > 0].tobytes())):
+                rows[name].append(value)
+        return _table(_INFO, **rows)
+
+    size = 0
+    for record in records:
+        held.append(record)
+        size += record.num_rows
+        if size >= 1_000_000:
+            yield flush()
+            size = 0
+    if size:
+        yield flush()
 
 
-_SCORING = "kind int, batch long, id long, held boolean, text binary, word long, c long, whole double, weight double, data binary, counts binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(words: Words, pair_d: list[float]):
+def _score(words: Words, pair_d: list[float], bits: int, hot: np.ndarray):
     def run(key, table):
-        kinds = np.array(table.column("kind").to_pylist())
-        info = table.filter(pa.array(kinds == 2))
-        vocabulary = info.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(vocabulary)
-        vocabulary = np.append(vocabulary[order], _LAST)
-        counts = np.append(info.column("c").to_numpy()[order], 0)
-        wholes = np.append(info.column("whole").to_numpy()[order], 1.0)
-        weights = np.append(info.column("weight").to_numpy()[order], 1.0)
-        answers = table.filter(pa.array(kinds == 1))
-        pairs = [unpack(x) for x in answers.column("data").to_pylist()]
-        found = [unpack_counts(x, len(p)) for x, p in zip(answers.column("counts").to_pylist(), pairs, strict=True)]
-        pairs = np.append(np.concatenate(pairs) if pairs else np.zeros(0, np.uint64), _LAST)
-        found = np.append(np.concatenate(found) if found else np.zeros(0, np.int64), 0)
-        order = np.argsort(pairs, kind="stable")
-        pairs, found = pairs[order], found[order]
-        docs = table.filter(pa.array(kinds == 0))
-        known, rows = WordHash(), []
-        for d, held, text in zip(docs.column("id").to_pylist(), docs.column("held").to_pylist(), docs.column("text"), strict=True):
-            w = tokens_of(text.as_py(), known)
-            h = np.concatenate([_START, w[:-1]])
-            at = np.searchsorted(vocabulary, w)
-            c = np.where(vocabulary[at] == w, counts[at], 0)
-            at_h = np.searchsorted(vocabulary, h)
-            has = vocabulary[at_h] == h
-            whole, weight = np.where(has, wholes[at_h], 1.0), np.where(has, weights[at_h], 1.0)
-            single = np.where(c > 0, words.probability(c), words.unknown)
-            pair = pair_hash(h, w) & _UPPER
-            at = np.searchsorted(pairs, pair)
-            c_hw = np.where(pairs[at] == pair, found[at], 0)
-            p = np.where(c_hw >= LEAST, discounted(c_hw, pair_d) / whole, weight * single)
-            rows.append((d, held, len(w), int((c > 0).sum()), words.n, float(words.base(c).sum()) if words.n else 0.0, float(np.log10(p).sum())))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        return pa.Table.from_arrays([pa.array(x, _TYPES[t]) for x, (_, t) in zip(columns, _fields(RESULT), strict=True)], names=[n for n, _ in _fields(RESULT)])
+        kinds = table.column("kind").to_pylist()
+        column = {c: table.column(c) for c in table.column_names}
+        own = kinds.index(0)
+        batch = Batch(*(column[c][own].as_py() for c in ("words", "tokens", "lengths", "held")))
+        size = len(batch.words) + 1
+        counts, whole, weight = np.zeros(size, np.int64), np.ones(size), np.ones(size)
+        answers = []
+        for i, kind in enumerate(kinds):
+            if kind == 1:
+                answers.append((column["part"][i].as_py(), column["counts"][i].as_py()))
+            elif kind == 2:
+                at = np.cumsum(unpack_counts(column["places"][i].as_py()).astype(np.int64))
+                counts[at] = unpack_counts(column["counts"][i].as_py())
+                more = np.frombuffer(column["whole"][i].as_py(), np.uint8)
+                has = at[more > 0]
+                whole[has], weight[has] = counts[has] + (more[more > 0] - 1), np.frombuffer(column["weight"][i].as_py())
+        single = np.where(counts > 0, words.probability(counts), words.unknown)
+        base = words.base(counts) if words.n else np.zeros(size)
+        w, h = batch.tokens, batch.histories()
+        place = distinct_pairs(batch, bits, hot)[3]
+        of_pairs = np.concatenate([unpack_counts(c) for _, c in sorted(answers)])
+        logs, step = np.empty(len(w)), 1 << 18
+        for a in range(0, len(w), step):
+            hs, ws, c = h[a : a + step], w[a : a + step], of_pairs[place[a : a + step]].astype(np.int64)
+            logs[a : a + step] = np.log10(np.where(c > 0, discounted(c, pair_d) / whole[hs], weight[hs] * single[ws]))
+        sums = [np.add.reduceat(values, batch.starts) for values in ((counts > 0).astype(np.int64)[w], base[w], logs)]
+        return pa.Table.from_arrays([pa.array(column["ids"][own].as_py(), pa.int64()), pa.array(batch.held), pa.array(batch.lengths), pa.array(sums[0]), pa.array(np.full(len(batch.lengths), words.n)), pa.array(sums[1]), pa.array(sums[2])], names=[c for c, _ in _fields(RESULT)])
 
     return run
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, held_out: int = 0) -> DataFrame:
     """Base and Katz log10 probability of every row's text; training rows are those whose crc32(id) mod ``modulus`` isn't ``held_out``."""
-    bytes_in = size_hint(docs)
-    batches = max(48, bytes_in // BATCH_BYTES)
-    bits = int(math.log2(power_of_two(bytes_in / PART_BYTES, 64, 1 << 20)))
+    bits = int(math.log2(power_of_two(size_hint(docs) / PART_BYTES, 64, 1 << 20)))
     base = docs.select(F.col(id_col).cast("long").alias("id"), (fold(docs, id_col, modulus) == held_out).alias("held"), F.col(text_col).cast("string").cast("binary").alias("text"))
     base = base.withColumn("held", F.when(F.col("id").isNull(), F.lit(False)).otherwise(F.col("held")))
 
-    counted = base.filter("not held").select("text").mapInArrow(_count_words, "word long, n long")
-    table = settle(counted.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    batches = settle(base.mapInArrow(_batches(), _BATCH), "lm-batches", packed=True)
+    counted = batches.drop("ids").mapInArrow(_count_words, "word long, n long")
+    table = settle(counted.groupBy("word").agg(F.sum("n").alias("c")), "lm-words", packed=True)
     sums = table.agg(F.sum("c"), F.count(F.lit(1)), *[F.count_if(F.col("c") == r) for r in range(1, K + 2)]).first()
     n, v = sums[0] or 0, sums[1]
     words = Words(n, v, {r: sums[r + 1] for r in range(1, K + 2)})
     hot = table.filter(F.col("c") * 1000 >= n).select("word").collect()  # at most a thousand, as each holds a thousandth
     hot = np.array([r[0] for r in hot] + [signed(START)], np.int64).view(np.uint64)
 
-    batched = base.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(batches)))
-    by_batch = batched.select("batch", "held", "text").groupBy("batch").applyInArrow(_count_pairs(bits, hot), _COUNTED)
-    pairs = settle(by_batch.groupBy("part").applyInArrow(_add_pairs, _COUNTED), "lm-pairs")
+    sent = batches.drop("ids").mapInArrow(_count_pairs(bits, hot), _COUNTED)
+    pairs = settle(sent.groupBy("part").applyInArrow(_add_pairs, _COUNTED), "lm-pairs", packed=True, by="kind")
     tallies = {r["h"]: r["n"] for r in pairs.filter("kind = 3").groupBy("h").agg(F.sum("c").alias("n")).collect()}
     pair_d = discounts(tallies, LEAST)
 
@@ -315,16 +397,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     kept = after.select("h", discounted(F.col("hw"), pair_d).alias("of_pairs"), words.probability(F.col("c")).alias("of_words")).groupBy("h").agg(F.sum("of_pairs").alias("of_pairs"), F.sum("of_words").alias("of_words"))
     # a history whose pairs leave less than half a count (all of them common) counts one more, for what was not seen
     whole = F.when(F.col("c") - F.col("of_pairs") < 0.5, F.col("c") + 1.0).otherwise(F.col("c").cast("double"))
-    weights = history.join(kept.withColumnRenamed("h", "word"), "word", "left").withColumn("whole", F.coalesce(whole, F.lit(1.0)))
+    weights = history.join(kept.withColumnRenamed("h", "word"), "word", "left").withColumn("whole", whole)
     left = (1 - F.col("of_pairs") / F.col("whole")) / (1 - F.col("of_words"))
-    weights = weights.select("word", "c", "whole", F.coalesce(left, F.lit(1.0)).alias("weight"))
-    weights = settle(weights, "lm-weights")
-
-    none = {"id": "long", "held": "boolean", "text": "binary", "word": "long", "c": "long", "whole": "double", "weight": "double", "data": "binary", "counts": "binary"}
-
-    def shaped(df: DataFrame, kind: int, *own: str) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"), "batch", *[F.col(c) if c in own else F.lit(None).cast(t).alias(c) for c, t in none.items()])
-
-    info = pairs.filter("kind = 4").select("batch", "data").mapInArrow(_unpack, "batch long, word long").join(weights, "word")
-    everything = shaped(batched, 0, "id", "held", "text").unionByName(shaped(pairs.filter("kind = 1"), 1, "data", "counts")).unionByName(shaped(info, 2, "word", "c", "whole", "weight"))
-    return everything.groupBy("batch").applyInArrow(_score(words, pair_d), RESULT)
+    weights = weights.select("word", "c", "whole", left.alias("weight"))
+    weights = settle(weights, "lm-weights", packed=True)
+    discard(table)
+    discard(pairs, "/kind=2")
+
+    places = batches.drop("ids").mapInArrow(_places, "word long, batch long, place int").join(weights, "word")
+    info = settle(places.select("batch", "place", "c", "whole", "weight").mapInArrow(_pack_info, _INFO), "lm-info", packed=True)
+    discard(weights)
+    binary = ("words", "tokens", "lengths", "held", "places", "counts", "whole", "weight")
+
+    def shaped(df: DataFrame, kind: int) -> DataFrame:
+        none = [F.lit(None).cast("binary").alias(c) for c in binary if c not in df.columns]
+        ids = F.col("ids") if "ids" in df.columns else F.lit(None).cast("array<long>").alias("ids")
+        part = F.col("part") if "part" in df.columns else F.lit(None).cast("long").alias("part")
+        return df.select(F.lit(kind).alias("kind"), "batch", part, ids, *[c for c in df.columns if c in binary], *none)
+
+    answers = pairs.filter("kind = 1").select("batch", "part", "counts")
+    everything = shaped(batches, 0).unionByName(shaped(answers, 1)).unionByName(shaped(info, 2))
+    return everything.groupBy("batch").applyInArrow(_score(words, pair_d, bits, hot), RESULT)

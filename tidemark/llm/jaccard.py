@@ -306,7 +306,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     # a document that may link has its set's class, any other its own ref
     may = sets.filter("shared is not null").select("ref", "id", "th", "n", "sig").join(by_rep, ["sig", "n"]).select("id", "th", "n", "class")
     may = settle(may, "set-classes")
-    least = may.groupBy("class").agg(F.min("id").alias("component_id"))
+    least = settle(may.groupBy("class").agg(F.min("id").alias("component_id")), "set-least")
     joined = may.join(least, "class").select("id", "th", "n", "component_id")
     alone = sets.filter("shared is null").select("id", "th", "n", F.col("id").alias("component_id"))
     return joined.unionByName(alone).select(F.col("id").alias("doc_id"), "th", F.col("n").alias("n_shingles"), "component_id")
@@ -317,7 +317,8 @@ def _connect(chosen: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
     stars = settle(postings, "prefixes")
     centre = stars.groupBy("key").agg(F.min("ref").alias("a"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("key", "a")
     candidates = components(stars.join(centre, "key").filter("ref <> a").select("a", F.col("ref").alias("b")).distinct())
-    counts = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    # settled, so their real size decides whether they are broadcast and the members stay where they are
+    counts = settle(candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "set-counts")
     grouped = candidates.join(counts, "component").withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("long"))
     grouped = grouped.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     members = settle(chosen.select("ref", "n", "shared").join(grouped.select(F.col("node").alias("ref"), "component", "chunk", "chunks"), "ref"), "set-members")
@@ -334,7 +335,7 @@ def _connect(chosen: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
     large = settle(large.withColumn("label", F.coalesce("label", "ref")), "set-labels")
     sizes = large.groupBy("component", "label").agg(F.count(F.lit(1)).alias("many")).groupBy("component").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.sum("many").alias("members"), F.max("many").alias("most"))
     left = sizes.filter("members > most").withColumn("strips", F.ceil((F.col("members") - F.col("most")) / CHUNK).cast("long")).withColumn("mains", F.ceil(F.col("most") / CHUNK).cast("long"))
-    open_groups = large.join(left, "component")
+    open_groups = large.join(settle(left, "set-open"), "component")
     outside, inside = open_groups.filter("label <> main"), open_groups.filter("label = main")
     strip, other = F.pmod(F.xxhash64("ref"), F.col("strips")), F.pmod(F.xxhash64("ref"), F.col("mains"))
     to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
@@ -349,9 +350,9 @@ def _connect(chosen: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, one of each group of linked documents: the one with the least id."""
     found = settle(classes(docs, id_col, text_col, size, percent), "dedup-classes")
-    chosen = found.filter("doc_id = component_id or component_id is null").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
-    chosen = settle(chosen.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "rows"), "dedup-kept")
+    chosen = found.filter("doc_id = component_id or component_id is null").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("__rows"))
+    chosen = settle(chosen.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__rows"), "dedup-kept")
     hashed = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
     kept = hashed.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "inner")
-    once = kept.filter("rows = 1").select(*docs.columns)
-    return once.unionByName(kept.filter("rows > 1").dropDuplicates(["__id", "__hash"]).select(*docs.columns))
+    once = kept.filter("__rows = 1").select(*docs.columns)
+    return once.unionByName(kept.filter("__rows > 1").dropDuplicates(["__id", "__hash"]).select(*docs.columns))

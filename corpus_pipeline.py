@@ -20,7 +20,10 @@ ORACLE_SQL = None
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     net = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", modulus=5, held_out=0)
-    return quality.apply(docs, net, docs.columns, threshold=0.3).filter("predicted = 1").select(*docs.columns)
+    # under other names, so a column called score or predicted comes through
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    scored = quality.apply(docs.withColumnsRenamed(names), net, list(names.values()), text_col=names["text"], threshold=0.3)
+    return scored.filter("predicted = 1").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,6 +105,11 @@ def parse(text: Column, fmt: str) -> Column:
     raise ValueError(f"unknown timestamp format {fmt!r}")
 
 
+def has_shape(text: Column, fmt: str) -> Column:
+    """Whether the cell looks like the format: necessary for ``matches``, and cheap."""
+    return F.regexp_like(F.trim(text), F.lit(_DATED.get(fmt, _NUMBER)))
+
+
 def matches(text: Column, fmt: str) -> Column:
     """Whether inference may take the cell for the format: it parses and, for numbers, its size is plausible."""
     t = F.trim(text)

@@ -177,7 +177,7 @@ def cast_column(name: str, dtype: str):
 
 
 def infer_timestamp_format(df: DataFrame, column: str) -> tuple[str | None, bool]:
-    """(format, ambiguous) that every cell has, in one aggregate over all rows; None if there is none.
+    """(format, ambiguous) that every cell has, in two aggregates over all rows; None if there is none.
 
     Nine formats are tried in order; then slashed dates, where a first number above 12 means
     day first, a second above 12 month first, both nothing, neither day first but ambiguous.
@@ -186,18 +186,21 @@ def infer_timestamp_format(df: DataFrame, column: str) -> tuple[str | None, bool
     slashed = F.regexp_like(cell, F.lit(r"^\s*\d+\s*/\s*\d+\s*/"))
     first = F.regexp_extract(cell, r"^\s*(\d+)\s*/", 1).try_cast("bigint")
     second = F.regexp_extract(cell, r"^\s*\d+\s*/\s*(\d+)\s*/", 1).try_cast("bigint")
-    tests = [F.bool_and(timestamps.matches(cell, f)).alias(f) for f in timestamps.FORMATS]
-    tests += [F.bool_and(timestamps.matches(cell, f)).alias(f) for f in timestamps.SLASHED]
-    row = df.agg(*tests, F.bool_and(slashed).alias("slashed"), F.coalesce(F.bool_or(first > 12), F.lit(False)).alias("day_first"), F.coalesce(F.bool_or(second > 12), F.lit(False)).alias("month_first"), F.count(F.lit(1)).alias("n")).first()
+    # first the cheap shapes, then exact parsing for formats whose shape every cell has
+    every = [*timestamps.FORMATS, *timestamps.SLASHED]
+    shapes = [F.bool_and(timestamps.has_shape(cell, f)).alias(f) for f in every]
+    row = df.agg(*shapes, F.bool_and(slashed).alias("slashed"), F.coalesce(F.bool_or(first > 12), F.lit(False)).alias("day_first"), F.coalesce(F.bool_or(second > 12), F.lit(False)).alias("month_first"), F.count(F.lit(1)).alias("n")).first()
     if not row["n"]:
         return None, False
+    likely = [f for f in every if row[f]]
+    fits = df.agg(*[F.bool_and(timestamps.matches(cell, f)).alias(f) for f in likely]).first().asDict() if likely else {}
     for f in timestamps.FORMATS:
-        if row[f]:
-            return f, f == "epoch_s" and row["labview_epoch"]
+        if fits.get(f):
+            return f, f == "epoch_s" and bool(fits.get("labview_epoch"))
     if not row["slashed"] or row["day_first"] and row["month_first"]:
         return None, False
     fmt = "mm_dd_yyyy" if row["month_first"] else "dd_mm_yyyy"
-    return (fmt, not (row["day_first"] or row["month_first"])) if row[fmt] else (None, False)
+    return (fmt, not (row["day_first"] or row["month_first"])) if fits.get(fmt) else (None, False)
 
 
 def footprint(file_bytes: int, mean_row_bytes: float, columns: int, timestamp_bytes: int = 32) -> int:

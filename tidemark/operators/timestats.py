@@ -82,8 +82,11 @@ def _uniform(median: Column, mad: Column, nonzero: Column, steps: Column) -> Col
 
 def segment_uniformity(df: DataFrame, by: list[str] | None = None, tick: str = "tick", order: str = "row_id") -> DataFrame:
     """One row a gap-free segment: by, segment, n, first_index, last_index, first_tick, last_tick, segment_median, uniform (by its own median)."""
-    by = by or []
-    marked = with_segments(df, by, tick, order).withColumn("step", F.when(~F.col("is_gap"), F.col("dt").cast("double")))
+    return _segment_uniformity(with_segments(df, by, tick, order), by or [], tick, order)
+
+
+def _segment_uniformity(marked: DataFrame, by: list[str], tick: str, order: str) -> DataFrame:
+    marked = marked.withColumn("step", F.when(~F.col("is_gap"), F.col("dt").cast("double")))
     key = [*by, "segment"]
     inner = marked.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count("step").alias("steps"), F.count_if(F.col("step") != 0).alias("nonzero"), F.median("step").alias("segment_median"), F.min(order).alias("first_index"), F.max(order).alias("last_index"), F.min_by(tick, order).alias("first_tick"), F.max_by(tick, order).alias("last_tick"))
     named = inner.select(*[F.col(k).alias(f"__{k}") for k in key], *[c for c in inner.columns if c not in key])
@@ -103,8 +106,11 @@ def segment_uniformity(df: DataFrame, by: list[str] | None = None, tick: str = "
 
 def is_uniform(df: DataFrame, by: list[str] | None = None, tick: str = "tick", order: str = "row_id") -> DataFrame:
     """by, uniform: over all steps of the series, gaps included."""
-    by = by or []
-    stepped = with_median(deltas(df, by, tick, order), by).withColumn("away", F.abs(F.col("dt") - F.col("median_dt")))
+    return _whole_uniformity(with_median(deltas(df, by, tick, order), by), by or [])
+
+
+def _whole_uniformity(stepped: DataFrame, by: list[str]) -> DataFrame:
+    stepped = stepped.withColumn("away", F.abs(F.col("dt") - F.col("median_dt")))
     grouped = stepped.groupBy(*by) if by else stepped.groupBy()
     sums = grouped.agg(F.count("dt").alias("steps"), F.count_if(F.col("dt") != 0).alias("nonzero"), F.max("median_dt").alias("m"), F.median(F.col("away").cast("double")).alias("mad"))
     return sums.select(*by, _uniform(F.col("m"), F.col("mad"), F.col("nonzero"), F.col("steps")).alias("uniform"))
@@ -121,8 +127,9 @@ def summarize(df: DataFrame, by: list[str] | None = None, tick: str = "tick", or
     by = by or []
     marked = with_segments(df, by, tick, order)
     totals = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_gap").alias("gap_count"), F.count_if(F.col("dt") < 0).alias("non_monotonic"), F.count_if(F.col("dt") == 0).alias("duplicate_timestamp"), F.max("median_dt").alias("median_dt"))
-    pieces = segment_uniformity(df, by, tick, order).groupBy(*by).agg(F.bool_and("uniform").alias("each_uniform"))
-    whole = is_uniform(df, by, tick, order)
+    # all three read the same marked rows, so Spark reuses their shuffles
+    pieces = _segment_uniformity(marked, by, tick, order).groupBy(*by).agg(F.bool_and("uniform").alias("each_uniform"))
+    whole = _whole_uniformity(marked, by)
     if by:
         named = [d.select(*[F.col(k).alias(f"__{i}{k}") for k in by], *[c for c in d.columns if c not in by]) for i, d in enumerate((pieces, whole))]
         out = totals

@@ -150,6 +150,19 @@ def test_search_odd_rows(odd, empty):
     assert (20, 40) in got and (40, 20) in got
 
 
+def test_search_asks_with_every_word(spark, monkeypatch):
+    """Eight rare words lead to document 1, the rest of the text to document 2."""
+    rare, rest = [f"r{i}" for i in range(8)], [f"w{i}" for i in range(60)]
+    rows = [(20, " ".join(rare + rest)), (1, " ".join(rare)), (2, " ".join(rest)), (3, " ".join(rest[:30])), *((100 * i + 7, " ".join(rest[i : i + 9])) for i in range(12))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert search.top_k(df, terms=8).filter("rank = 1").first()["doc_id"] == 1
+    for group in (search.GROUP, 1):
+        monkeypatch.setattr(search, "GROUP", group)
+        got = sorted(tuple(r) for r in search.top_k(df, every=1).collect())
+        assert got == sorted(search.brute_force(rows, every=1))
+        assert (20, 1, 2) in [x[:3] for x in got]
+
+
 def test_token_counts(spark, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

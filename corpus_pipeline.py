@@ -34,7 +34,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item's question and answer."""
     marked = docs.withColumn("__hash", F.xxhash64("text"))
-    leaks = decontaminate.contaminated(marked, table(spark, sf_dir, "benchmark"), ["doc_id", "__hash"])
+    leaks = decontaminate.contaminated(marked, table(spark, sf_dir, "benchmark"), ["doc_id", "__hash"], edited=True)
     leaks = settle(leaks.select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__leak")).distinct(), "leaks")
     return marked.join(leaks, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__leak")), "left_anti").select(*docs.columns)
 

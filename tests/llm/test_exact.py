@@ -282,6 +282,31 @@ def test_decontamination(spark, corpus):
         assert got == want
 
 
+def test_edited_and_truncated_items_leak(spark, tmp_path):
+    """An edit in an item's answer, another in its question, and its first nine tenths; not the like of other items."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    items, docs, want = [], [], set()
+    for i in range(60):
+        n, m = 5 + i % 30, 1 + i % 6
+        items.append((i, " ".join(f"q{i}x{j}" for j in range(n)) + ". " + " ".join(f"a{i}x{j}" for j in range(m))))
+        ws = items[-1][1].replace(".", "").split()
+        answer, both = [*ws], [*ws]
+        answer[-1] = "other"
+        both[-1] = both[rng.randrange(n)] = "other"
+        for k, inside in enumerate((answer, both if n > 6 else answer, ws[: max(n, len(ws) * 9 // 10)])):
+            docs.append((3 * i + k, " ".join([f"d{rng.randrange(500)}" for _ in range(60)] + inside + [f"d{rng.randrange(500)}" for _ in range(60)])))
+            want.add((3 * i + k, i))
+    docs.append((999, " ".join(f"d{j}" for j in range(300))))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op4_decontaminate(spark, str(tmp_path)).collect()}
+    assert got == want
+    left = corpus_pipeline.drop_leaks(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert [r["doc_id"] for r in left.collect()] == [999]
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, None), (3, " "), (4, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd, items, ["doc_id"]).collect())

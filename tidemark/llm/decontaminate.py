@@ -5,9 +5,12 @@ item, stepping by half), and every passage is a query against the index of test
 Scores are BM25 as a share of the item's own best score, so one threshold fits items of any
 length; all items at or above it are retrieved. Pruning is exact: for every passage the largest
 impacts of its terms in a block of items are added up (many passages at once), and only
-items of blocks whose bound reaches the threshold are scored. A retrieved item is verified by the share of its
-question's and of its answer's five-word shingles that stand in the document's passage
-widened on both sides by the item's length; both must reach ``overlap``.
+items of blocks whose bound reaches the threshold are scored. A retrieved item is verified in the document's passage
+widened on both sides by the item's length: the shares of its question's and of its answer's
+five-word shingles that stand there must both reach ``overlap``. With ``edited``, as op4 and the
+pipeline ask for it, also an item is found of whose whole the share reaches ``overlap``, so its
+answer may be edited or cut off, and of parts too short for five words to survive two
+edits shorter shingles count too (``gram``).
 
 An item's question is what stands before its last line break (else its last sentence; else
 its first two thirds), the answer the rest.
@@ -63,13 +66,19 @@ def shingles(words: list[bytes], n: int = GRAM) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+def gram(n: int) -> int:
+    """Words a shingle for a part of ``n`` words: two edited words leave about half of the shingles."""
+    return 1 if n <= 4 else 2 if n < 16 else 3 if n < 24 else GRAM
+
+
 class Index:
     """Postings of one shard of items, in blocks, with the largest impact of each block."""
 
     def __init__(self, items: list[tuple[int, str]], idf: dict[bytes, float], average: float):
         self.ids = [i for i, _ in items]
         self.parts = [question_and_answer(t) for _, t in items]
-        self.lengths = [len(words_of(t.encode())) for _, t in items]
+        self.wholes = [words_of(t.encode()) for _, t in items]
+        self.lengths = [len(w) for w in self.wholes]
         self.term: dict[bytes, int] = {}
         postings: list[list[tuple[int, float]]] = []
         for n, (_, text) in enumerate(items):
@@ -129,7 +138,7 @@ class Index:
                 for item, score in self.search(terms[i:j], live[k], slack):
                     yield (low + int(k)) * self.step, item, score
 
-    def matches(self, text: bytes, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
+    def matches(self, text: bytes, threshold: float, overlap: float, edited: bool = False) -> list[tuple[int, float, float, float]]:
         """(item, score, question overlap, answer overlap) of every verified item."""
         words = words_of(text)
         if not words:
@@ -144,20 +153,25 @@ class Index:
         out = []
         for item, score in best.items():
             question, answer = self.parts[item]
-            top = (0.0, 0.0)
+            top, whole = (0.0, 0.0), 0.0
             for a, b in places[item]:
                 region = words[a:b]
-                top = max(top, (self._share(region, question), self._share(region, answer)), key=min)
-            if min(top) >= overlap:
+                top = max(top, (self._share(region, question, edited), self._share(region, answer, edited)), key=min)
+                if edited:
+                    whole = max(whole, self._share(region, self.wholes[item], edited, 2))
+            if min(top) >= overlap or whole >= overlap:
                 out.append((self.ids[item], score, *top))
         return out
 
     @staticmethod
-    def _share(region: list[bytes], part: list[bytes]) -> float:
-        wanted = shingles(part)
-        n = min(GRAM, len(part))
-        have = shingles(region, n) if len(region) >= n else set()
-        return len(wanted & have) / len(wanted) if wanted else 0.0
+    def _share(region: list[bytes], part: list[bytes], edited: bool, least: int = 1) -> float:
+        """The share of the part's shingles in the region: of five words or, if ``edited`` and more, of ``gram``'s and ``least`` at least."""
+        share = 0.0
+        for n in {min(GRAM, len(part)), min(max(least, gram(len(part))) if edited else GRAM, len(part))} - {0}:
+            wanted = shingles(part, n)
+            have = shingles(region, n) if len(region) >= n else set()
+            share = max(share, len(wanted & have) / len(wanted))
+        return share
 
 
 def indexes(items: DataFrame, item_col: str, text_col: str, shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
@@ -195,7 +209,7 @@ def indexes(items: DataFrame, item_col: str, text_col: str, shard_bytes: int = S
             yield Index(rows, idf, average)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_cols: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_cols: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES, edited: bool = False) -> DataFrame:
     """One row for each document and test item found in it: ids, item_id, score, question_overlap, answer_overlap."""
     kept = docs.select(*[F.col(c) for c in id_cols], F.col(text_col).cast("string").cast("binary").alias("__bytes"))
     item_type = items.schema[item_col].dataType.simpleString()
@@ -209,7 +223,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_cols: list[str], text_col
             for batch in batches:
                 rows, found = [], []
                 for n, text in enumerate(batch.column(batch.num_columns - 1)):
-                    for match in index.matches(text.as_py() or b"", threshold, overlap):
+                    for match in index.matches(text.as_py() or b"", threshold, overlap, edited):
                         rows.append(n)
                         found.append(match)
                 ids = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]

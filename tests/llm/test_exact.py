@@ -232,6 +232,18 @@ def test_katz_equals_brute_force_and_sums_to_one(spark, corpus):
         assert sum(p(h, x) for x in c) + p(h, b"unknown word") == pytest.approx(1.0, abs=1e-9)
 
 
+def test_katz_knows_pairs_seen_once(spark):
+    """"u v" was seen once and "u w" never; v and w are alike in all else."""
+    from zlib import crc32
+
+    held = [i for i in range(500) if crc32(str(i).encode()) % 10 == 0]
+    train = [i for i in range(500) if i not in held]
+    texts = ["u x"] * 3 + ["y v"] * 3 + ["y w"] * 3 + ["u v", "z w"] + [f"f{i % 7} g{i % 5}" for i in range(60)]
+    rows = [*zip(train, texts), (held[0], "u v"), (held[1], "u w")]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 0.1
+
+
 def test_katz_odd_rows(odd, empty):
     got = sorted((r["n_tokens"], r["score"] <= 0) for r in lm.score(odd).collect())
     assert [g[0] for g in got] == [1, 1, 1, 1, 3, 4, 9, 9, 9, 30_001, 30_002] and all(g[1] for g in got)

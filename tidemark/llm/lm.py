@@ -1,8 +1,8 @@
 """LM scoring by a Katz back-off model of word pairs.
 
 Tokens are a text's words (A-Z in lower case), then one end. Counts are discounted by
-Good-Turing up to ``K`` (Katz 1987); pairs seen fewer than ``LEAST`` times count as unseen,
-as Katz proposes, and their mass backs off too. A token's probability is, recursively,
+Good-Turing up to ``K`` (Katz 1987); every pair of the training rows is in the table, those
+seen once too (``LEAST``). A token's probability is, recursively,
 that of the pair if it is in the table, else the history's back-off weight times the
 word's, which is the word table's discounted share or, for a word without a count, all the mass that
 discounting freed. Back-off weights are exact: what the pairs leave of a history, over what
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .base import WordHash, discard, fold, mix, power_of_two, settle, size_hint, words_of
 
-K, LEAST = 5, 2
+K, LEAST = 5, 1
 #: Tokens a batch, and stored bytes of input a part of the pairs.
 BATCH_TOKENS, PART_BYTES = 1_500_000, 8 << 20
 #: No word holds a newline, so these can't be words.

@@ -183,6 +183,19 @@ def test_token_counts(spark, odd, empty):
     assert tokens.count_tokens(empty, path).count() == 0
 
 
+def test_huge_texts_are_counted_by_overlapping_chunks(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    counter = tokens.Counter(path, chunk=64, overlap=8)
+    monkeypatch.setattr(counter, "_count", None)  # not by segments
+    rng = random.Random(12)
+    for text in (" ".join(rng.choices(["one", "Two's", "漢字", "3.14", " ", "\n", "é"], k=400)), "x" * 300, " " * 200):
+        assert counter.count_long(text) == len(library.encode(text, add_special_tokens=False).ids)
+
+
 def brute_lm(rows):
     """Straight from the definitions, on dictionaries."""
     from zlib import crc32

@@ -74,6 +74,15 @@ def test_odd_rows(spark, odd, empty, module):
     assert module.apply(odd, module.fit(odd, labels.filter("false")), ["doc_id"]).count() == 11
 
 
+def test_labels_of_no_document_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(40, "x" * 200)], "doc_id long, text string")
+    labels = spark.range(4000).selectExpr("id AS doc_id", "1 AS quality")
+    fit = {i for i in range(40) if crc32(str(i).encode()) % 5}
+    sample = labelled_sample(docs, labels, "quality", 5, 0, 50, 800)
+    assert {t for t, _ in sample} == {f"text {i}".encode() for i in fit}
+    assert len(labelled_sample(docs, labels, "quality", 5, 0, 50, 800, largest=200)) == len(fit) + (crc32(b"40") % 5 != 0)
+
+
 def test_sample_is_bounded_and_keeps_off_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     texts = {r["text"]: r["doc_id"] for r in docs.collect()}

@@ -136,12 +136,66 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def search_by_force(rows, every=20, k=10):
+    """BM25 of every text for every whole text that asks, from the definition; ranks of the best."""
+    texts = [words(t) for _, t in rows]
+    live = [i for i, w in enumerate(texts) if w]
+    df = Counter(w for i in live for w in set(texts[i]))
+    average = sum(map(len, texts)) / max(1, len(live))
+    found = []
+    for i in live:
+        if rows[i][0] is None or rows[i][0] % every:
+            continue
+        scored = []
+        for j in live:
+            points = 0
+            for w in set(texts[i]) & set(texts[j]):
+                if df[w] > 1:
+                    tf, idf = texts[j].count(w), math.log(1 + (len(live) - df[w] + 0.5) / (df[w] + 0.5))
+                    points += math.floor(idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len(texts[j]) / average)) * 1_000_000 + 0.5)
+            if points and j != i:
+                scored.append((-points, rows[j][0] is None, rows[j][0] or 0))
+        found += [(rows[i][0], r, None if null else d, -p / 1_000_000) for r, (p, null, d) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(found, key=str)
+
+
+def found_by(df, **options):
+    return sorted(((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in search.top_k(df, **options).collect()), key=str)
+
+
 def test_search_equals_brute_force(spark, corpus):
-    rows = [*corpus, (20, "v1 v2"), (40, None), (None, "v3 v4 tiny"), (60, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in search.top_k(df).collect() if r["doc_id"] is not None)
-    want = sorted(x for x in search.brute_force(rows) if x[2] is not None)
-    assert got == want
+    rows = [*corpus, (20, "v1 v2"), (40, None), (None, "v3 v4 tiny"), (60, ""), (80, "v1 v1 v1 nowhere"), (100, "alone")]
+    for parts in (1, 7):  # one shard, and seven that hand their queries around
+        assert found_by(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)) == search_by_force(rows)
+
+
+def test_search_in_groups_of_queries(spark, corpus, monkeypatch):
+    monkeypatch.setattr(search, "GROUP_BYTES", 4000)
+    rows = corpus[:120]
+    assert found_by(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), every=2, k=3) == search_by_force(rows, 2, 3)
+
+
+def test_a_shard_prunes_and_stays_exact():
+    """Bounds of blocks rule out most of a shard of 3,000 documents, and the best are those of scoring all."""
+    rng = np.random.default_rng(5)
+    n, terms = 3000, 400
+    lists = [np.sort(rng.choice(n, max(2, int(n * rng.random() ** 4)), replace=False)) for _ in range(terms)]
+    many = np.array([len(x) for x in lists])
+    points = rng.integers(1, 1000, many.sum()).astype(np.uint32) * np.repeat(1 + 20_000 // many, many).astype(np.uint32)
+    row = search.Shard.stored(list(range(n)), np.arange(terms, dtype=np.uint64), many, np.concatenate(lists), points)
+    shard = search.Shard(row["ids"], *(row[c] for c in search._STORED))
+    scored = []
+    shard._scores = lambda docs, score=shard._scores: (scored.append(len(docs)), score(docs))[1]
+    for _ in range(30):
+        asked = np.sort(rng.choice(terms, 60, replace=False))
+        full = np.zeros(n, np.int64)
+        for t in asked:
+            np.add.at(full, lists[t], points[many[:t].sum() : many[: t + 1].sum()])
+        best = sorted((-p, i) for i, p in enumerate(full.tolist()) if p and i != 7)[:10]
+        for floor in (0, -best[-1][0]):
+            numbers, scores = shard.top(shard.places(asked.astype(np.uint64)), 7, floor, 10)
+            assert [(-p, i) for i, p in zip(numbers.tolist(), scores.tolist(), strict=True)] == best
+    assert np.mean(scored) < n / 4
 
 
 def test_search_odd_rows(odd, empty):
@@ -150,19 +204,6 @@ def test_search_odd_rows(odd, empty):
     assert (20, 40) in got and (40, 20) in got
 
 
-def test_search_asks_with_every_word(spark, monkeypatch):
-    """Eight rare words lead to document 1, the rest of the text to document 2."""
-    rare, rest = [f"r{i}" for i in range(8)], [f"w{i}" for i in range(60)]
-    rows = [(20, " ".join(rare + rest)), (1, " ".join(rare)), (2, " ".join(rest)), (3, " ".join(rest[:30])), *((100 * i + 7, " ".join(rest[i : i + 9])) for i in range(12))]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert search.top_k(df, terms=8).filter("rank = 1").first()["doc_id"] == 1
-    for group in (search.GROUP, 1):
-        monkeypatch.setattr(search, "GROUP", group)
-        got = sorted(tuple(r) for r in search.top_k(df, every=1).collect())
-        assert got == sorted(search.brute_force(rows, every=1))
-        assert (20, 1, 2) in [x[:3] for x in got]
-
-
 def test_token_counts(spark, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

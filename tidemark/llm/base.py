@@ -22,22 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (local tests) a temporary folder of this machine is taken.
+    Only in local mode, where all tasks run on the driver's machine, an unset one is set to
+    a temporary folder. On a cluster it must be set: a folder of one machine would hold
+    only what that machine's tasks wrote.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame, label: str, packed: bool = False, by: str | None = None) -> DataFrame:
+def settle(df: DataFrame, label: str, packed: bool = False, by: str | None = None, release: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
     This cuts the lineage at a place that survives the loss of executors, and gives the
     planner the real size, so it broadcasts the table only below the session's threshold.
-    The shuffle files of the job just ended are released at once. ``packed`` compresses
-    harder; ``by`` partitions the table by a column.
+    ``packed`` compresses harder; ``by`` partitions the table by a column. The returned
+    table's ``discard(part)`` deletes it, or one partition folder, once no later step reads
+    it. ``release``, after a large shuffle: ask the driver's JVM to collect, as Spark deletes
+    a finished job's shuffle files only when its plan is collected.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
@@ -45,15 +51,14 @@ def settle(df: DataFrame, label: str, packed: bool = False, by: str | None = Non
     (writer.partitionBy(by) if by else writer).parquet(path)
     fields = [f for f in df.schema.fields if f.name != by] + [f for f in df.schema.fields if f.name == by]
     out = spark.read.schema(StructType(fields)).parquet(path).select(*df.columns)
-    out.settled_at = path
-    spark.sparkContext._jvm.System.gc()
+    out.discard = lambda part="": _delete(spark, path + part)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
-def discard(df: DataFrame, part: str = "") -> None:
-    """Delete a settled table, or one partition folder of it, that no later step reads."""
-    spark = df.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.settled_at + part)
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
@@ -63,8 +68,8 @@ def size_hint(df: DataFrame) -> int:
     return min(size, 1 << 50)
 
 
-def power_of_two(x: float, least: int, most: int) -> int:
-    return int(min(most, max(least, 1 << max(0, int(np.ceil(np.log2(max(1.0, x))))))))
+def power_of_two(x: float, least: int) -> int:
+    return max(least, 1 << max(0, int(np.ceil(np.log2(max(1.0, x))))))
 
 
 def fold(df: DataFrame, column: str, modulus: int) -> Column:
@@ -103,3 +108,18 @@ def mix(a: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def ranges(starts: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (many[0] numbers), then the same of the others."""
+    ends = np.cumsum(many)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - many), many)
+
+
+def narrow(x: np.ndarray | bytes) -> bytes | np.ndarray:
+    """Whole numbers below 2^32 as bytes of the narrowest type that holds all of them, whose width comes first; from bytes, the numbers."""
+    if isinstance(x, bytes):
+        return np.frombuffer(x, f"<u{x[0]}", -1, 8)
+    most = int(x.max()) if len(x) else 0
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([width]) + bytes(7) + np.asarray(x).astype(f"<u{width}").tobytes()

@@ -47,6 +47,8 @@ SIZE, PERCENT = 5, 75
 BATCH_DOCS, BATCH_PAIRS = 8192, 1_000_000
 #: In more documents of a batch than this, a shingle is counted in the batch first.
 COMMON = 64
+#: Stored bytes of input a part of the shingles; there are as many parts as the input needs.
+PART_BYTES = 4 << 20
 #: Sets a chunk in step 5.
 CHUNK = 64
 _LOW = np.uint64((1 << 48) - 1)
@@ -291,10 +293,10 @@ def _link_chunks(percent: int):
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, th (xxhash64 of the text), n_shingles, component_id for every row of ``docs``."""
-    bits = int(np.log2(power_of_two(size_hint(docs) / (4 << 20), 1 << 9, 1 << 16)))
+    bits = int(np.log2(power_of_two(size_hint(docs) / PART_BYTES, 1 << 9)))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").cast("binary").alias("text"))
     counted = text.mapInArrow(_send_pairs(bits, size), _PAIRS).groupBy("part").applyInArrow(_count_part, _PAIRS)
-    sets = settle(counted.groupBy("batch").applyInArrow(_select(percent, bits), _SETS), "shingle-sets")
+    sets = settle(counted.groupBy("batch").applyInArrow(_select(percent, bits), _SETS), "shingle-sets", release=True)
 
     # equal sets are one: the least ref stands for them
     alike = settle(sets.filter("shared is not null").groupBy("sig", "n").agg(F.min("ref").alias("rep")), "set-reps")

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WordHash, discard, fold, mix, power_of_two, settle, size_hint, words_of
+from .base import WordHash, fold, mix, power_of_two, settle, size_hint, words_of
 
 K, LEAST = 5, 1
 #: Tokens a batch, and stored bytes of input a part of the pairs.
@@ -369,7 +369,7 @@ def _score(words: Words, pair_d: list[float], bits: int, hot: np.ndarray):
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, held_out: int = 0) -> DataFrame:
     """Base and Katz log10 probability of every row's text; training rows are those whose crc32(id) mod ``modulus`` isn't ``held_out``."""
-    bits = int(math.log2(power_of_two(size_hint(docs) / PART_BYTES, 64, 1 << 20)))
+    bits = int(math.log2(power_of_two(size_hint(docs) / PART_BYTES, 64)))
     base = docs.select(F.col(id_col).cast("long").alias("id"), (fold(docs, id_col, modulus) == held_out).alias("held"), F.col(text_col).cast("string").cast("binary").alias("text"))
     base = base.withColumn("held", F.when(F.col("id").isNull(), F.lit(False)).otherwise(F.col("held")))
 
@@ -401,12 +401,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     left = (1 - F.col("of_pairs") / F.col("whole")) / (1 - F.col("of_words"))
     weights = weights.select("word", "c", "whole", left.alias("weight"))
     weights = settle(weights, "lm-weights", packed=True)
-    discard(table)
-    discard(pairs, "/kind=2")
+    table.discard()
+    pairs.discard("/kind=2")
 
     places = batches.drop("ids").mapInArrow(_places, "word long, batch long, place int").join(weights, "word")
     info = settle(places.select("batch", "place", "c", "whole", "weight").mapInArrow(_pack_info, _INFO), "lm-info", packed=True)
-    discard(weights)
+    weights.discard()
     binary = ("words", "tokens", "lengths", "held", "places", "counts", "whole", "weight")
 
     def shaped(df: DataFrame, kind: int) -> DataFrame:

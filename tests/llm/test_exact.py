@@ -237,53 +237,84 @@ def test_huge_texts_are_counted_by_overlapping_chunks(monkeypatch):
         assert counter.count_long(text) == len(library.encode(text, add_special_tokens=False).ids)
 
 
-def brute_lm(rows):
-    """Straight from the definitions, on dictionaries."""
+def good_turing(counts, k=5):
+    """Katz's discounts of counts 1 .. k by the counts of counts; (r - 1/2) / r where they allow none."""
+    n = Counter(counts)
+    out = {}
+    common = (k + 1) * n[k + 1] / n[1] if n[1] else 1
+    for r in range(1, k + 1):
+        d = None
+        if n[r] and common < 1:
+            d = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common)
+        out[r] = d if d is not None and 0 < d < 1 else (r - 0.5) / r
+    return out
+
+
+def brute_lm(rows, order):
+    """Katz back-off straight from the definitions, on dictionaries."""
     from zlib import crc32
 
-    end, start = b"\n</s>", b"\n<s>"
-    texts = [(d, words(t) + [end], crc32(str(d).encode()) % 10 == 0) for d, t in rows]
-    c, pair = Counter(), Counter()
+    end, start = "</s>", "<s>"
+    texts = [(d, [w.decode() for w in words(t)] + [end], d is not None and crc32(str(d).encode()) % 10 == 0) for d, t in rows]
+    counts = [Counter() for _ in range(order + 1)]  # by length; counts[0] of histories of no word
+    seen = Counter()
     for _, ws, held in texts:
         if not held:
-            c.update(ws)
-            pair.update(zip([start, *ws[:-1]], ws, strict=True))
-    n, v = sum(c.values()), len(c)
-    w = lm.Words(n, v, Counter(c.values()))
-    d = lm.discounts(Counter(pair.values()), lm.LEAST)
-    single = lambda x: float(w.probability(np.array([c[x]]))[0]) if c[x] else w.unknown
-    after = defaultdict(dict)
-    for (h, x), k in pair.items():
-        if k >= lm.LEAST:
-            after[h][x] = float(lm.discounted(np.array([k]), d)[0])
-    seen = Counter(c) + Counter({start: c[end]})
-    whole = {h: seen[h] + (1 if seen[h] - sum(s.values()) < 0.5 else 0) for h, s in after.items()}
-
-    def p(h, x):
+            line = [start] * (order - 1) + ws
+            for i in range(order - 1, len(line)):
+                for n in range(1, order + 1):
+                    gram = tuple(line[i - n + 1 : i + 1])
+                    counts[n][gram] += 1
+                    seen[gram[:-1]] += 1
+    total, types = sum(counts[1].values()), len(counts[1])
+    d = [None] + [good_turing(counts[n].values()) for n in range(1, order + 1)]
+    cut = lambda n, c: c * d[n].get(c, 1)
+    kept = sum(cut(1, c) for c in counts[1].values())
+    unknown = max(1 - kept / total, 1 / (total + 1))
+    after = defaultdict(list)
+    for n in range(2, order + 1):
+        for g in counts[n]:
+            after[g[:-1]].append(g)
+
+    def p(h, w):
+        if not h:
+            c = counts[1][(w,)]
+            return cut(1, c) * (1 - unknown) / kept if c else unknown
         if h not in after:
-            return single(x)
-        if x in after[h]:
-            return after[h][x] / whole[h]
-        left = (1 - sum(after[h].values()) / whole[h]) / (1 - sum(map(single, after[h])))
-        return left * single(x)
+            return p(h[1:], w)
+        n, whole, mass = len(h) + 1, seen[h], sum(cut(len(h) + 1, counts[len(h) + 1][g]) for g in after[h])
+        whole += whole - mass < 0.499999
+        c = counts[n][(*h, w)]
+        return cut(n, c) / whole if c else (1 - mass / whole) / (1 - sum(p(h[1:], g[-1]) for g in after[h])) * p(h[1:], w)
 
     scores = {}
     for doc, ws, held in texts:
-        base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in ws)
-        scores[doc] = (held, len(ws), sum(c[x] > 0 for x in ws), n, base, sum(math.log10(p(h, x)) for h, x in zip([start, *ws[:-1]], ws, strict=True)))
-    return scores, p, c, after
+        line = [start] * (order - 1) + ws
+        base = sum(math.log10((counts[1][(w,)] + 0.1) / (total + 0.1 * (types + 1))) for w in ws)
+        scores[doc] = (held, len(ws), sum(counts[1][(w,)] > 0 for w in ws), total, base, sum(math.log10(p(tuple(line[i : i + order - 1]), w)) for i, w in enumerate(ws)))
+    return scores, p, counts, after
 
 
-def test_katz_equals_brute_force_and_sums_to_one(spark, corpus):
-    rows = [(d, t or None) for d, t in corpus]
-    scores, p, c, after = brute_lm(rows)
-    got = {r["doc_id"]: tuple(r)[1:] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz_equals_brute_force_and_sums_to_one(spark, corpus, order):
+    rows = [(d, t or None) for d, t in corpus[: 120 if order == 3 else 300]]
+    scores, p, counts, after = brute_lm(rows, order)
+    got = {r["doc_id"]: tuple(r)[1:] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order=order).collect()}
     assert got.keys() == scores.keys()
     for d, want in scores.items():
         assert got[d][:4] == want[:4]
         assert got[d][4:] == pytest.approx(want[4:], rel=1e-9)
-    for h in [*list(after)[:20], b"never seen"]:
-        assert sum(p(h, x) for x in c) + p(h, b"unknown word") == pytest.approx(1.0, abs=1e-9)
+    for h in [*list(after)[:10], *list(after)[-5:], ("never", "seen")[: order - 1]]:
+        assert sum(p(h, w) for (w,) in counts[1]) + p(h, "unknown word") == pytest.approx(1.0, abs=1e-9)
+
+
+def test_katz_spreads_hot_histories(spark):
+    """A word before a third of all tokens: its pairs lie in many parts, and its weight is of all of them."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(w for _ in range(rng.randint(1, 30)) for w in ("the", f"n{int(rng.paretovariate(0.6)) % 900}"))) for i in range(250)]
+    scores = brute_lm(rows, 2)[0]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[d] == pytest.approx(want[5], rel=1e-9) for d, want in scores.items())
 
 
 def test_katz_knows_pairs_seen_once(spark):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -57,6 +59,18 @@ def settle(df: DataFrame, label: str, packed: bool = False, by: str | None = Non
     return out
 
 
+@contextmanager
+def one_by_one(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside hand rows to Python one at a time: for tables whose rows are large."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

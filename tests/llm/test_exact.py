@@ -337,33 +337,47 @@ def test_katz_odd_rows(odd, empty):
     assert alone["n_tokens"] == 1
 
 
-def leaks_by_force(docs, items, threshold=decontaminate.THRESHOLD, overlap=decontaminate.OVERLAP):
-    """Every passage against every item, scored in full."""
-    df = Counter(w for _, t in items for w in set(decontaminate.words_of(t.encode())))
-    n = len(items)
-    average = sum(len(decontaminate.words_of(t.encode())) for _, t in items) / n
-    idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
-    step = max(32, -(-max(len(decontaminate.words_of(t.encode())) for _, t in items) // 2))
+def plain(text):
+    return re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+
+
+def leaks_by_force(docs, items, threshold=0.5, overlap=0.5):
+    """Every passage against every item, scored in full, from the definitions."""
+    def halves(text):
+        for cut in (text.rfind("\n") + 1, max([m.end() for m in re.finditer(r"[.?!]\s", text)] or [0])):
+            if plain(text[:cut]) and plain(text[cut:]):
+                return plain(text[:cut]), plain(text[cut:])
+        ws = plain(text)
+        cut = max(1, len(ws) * 2 // 3)
+        return ws[:cut], ws[cut:] or ws[:cut]
+
+    def grams(ws, n):
+        return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}
+
+    df = Counter(w for _, t in items for w in set(plain(t)))
+    n, average = len(items), sum(len(plain(t)) for _, t in items) / len(items)
     found = set()
     for d, text in docs:
-        ws = decontaminate.words_of((text or "").encode())
+        ws = plain(text)
         for i, t in items:
-            counts = Counter(decontaminate.words_of(t.encode()))
-            dl = sum(counts.values())
-            impact = {w: idf[w] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average)) for w, tf in counts.items()}
-            q, a = decontaminate.question_and_answer(t)
-            for s in range(0, max(1, len(ws) - step), step) if ws else ():
-                part = set(ws[s : s + 2 * step])
+            counts, dl = Counter(plain(t)), len(plain(t))
+            impact = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average)) for w, tf in counts.items()}
+            size = 64
+            while size < dl:
+                size *= 2
+            for s in range(0, max(1, len(ws) - size // 2), size // 2) if ws else ():
+                part = set(ws[s : s + size])
                 if sum(x for w, x in impact.items() if w in part) >= threshold * sum(impact.values()):
-                    region = ws[max(0, s - dl) : s + 2 * step + dl]
-                    if all(len(decontaminate.shingles(x) & decontaminate.shingles(region, min(5, len(x)))) >= overlap * len(decontaminate.shingles(x)) for x in (q, a)):
+                    region = ws[max(0, s - dl) : s + size + dl]
+                    if all(len(grams(x, min(5, len(x))) & grams(region, min(5, len(x)))) >= overlap * len(grams(x, min(5, len(x)))) for x in halves(t.strip())):
                         found.add((d, i))
     return found
 
 
 def test_decontamination(spark, corpus):
     rng = random.Random(9)
-    items = [(i, " ".join(f"q{rng.randrange(300)}" for _ in range(rng.randint(6, 50))) + ". " + " ".join(f"a{rng.randrange(300)}" for _ in range(5))) for i in range(70)]
+    length = lambda i: rng.randint(6, 50) if i % 4 else rng.randint(60, 200)
+    items = [(i, " ".join(f"q{rng.randrange(300)}" for _ in range(length(i))) + ". " + " ".join(f"a{rng.randrange(300)}" for _ in range(5))) for i in range(70)]
     docs = []
     for d, t in corpus[:150]:
         kind = d % 5
@@ -374,11 +388,21 @@ def test_decontamination(spark, corpus):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = leaks_by_force(docs, items)
     assert len(want) > 30
-    for shard_bytes in (decontaminate.SHARD_BYTES, 2000):
+    for shard_bytes in (decontaminate.SHARD_BYTES, 4000):
         got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench, ["doc_id"], shard_bytes=shard_bytes).collect()}
         assert got == want
 
 
+def test_an_item_is_found_alike_beside_a_long_one(spark):
+    """A question and its answer 600 words apart: whether an item of 3,000 words shares the index changes nothing."""
+    question, answer = [f"q{i}" for i in range(15)], [f"a{i}" for i in range(5)]
+    items = [(1, " ".join(question) + ". " + " ".join(answer)), (2, " ".join(f"z{i}" for i in range(3000)))]
+    docs = [(1, " ".join(question + [f"d{i}" for i in range(600)] + answer)), (2, " ".join(question + answer))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for some, shard_bytes in ((bench, 1 << 20), (bench, 1000), (bench.filter("item_id = 1"), 1 << 20)):
+        assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, some, ["doc_id"], shard_bytes=shard_bytes).collect()] == [(2, 1)]
+
+
 def test_edited_and_truncated_items_leak(spark, tmp_path):
     """An edit in an item's answer, another in its question, and its first nine tenths; not the like of other items."""
     import corpus_pipeline
@@ -409,6 +433,8 @@ def test_decontamination_odd_rows(spark, odd, empty):
     got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd, items, ["doc_id"]).collect())
     assert got == [(1, 1), (1, 4), (2, 1), (2, 1), (2, 4), (2, 4)]
     assert decontaminate.contaminated(empty, items, ["doc_id"]).count() == 0
+    named = decontaminate.contaminated(odd, items.select(F.col("item_id").cast("decimal(20,0)"), "text"), ["doc_id", "score"])
+    assert named.columns == ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"] and named.count() == 6
     assert decontaminate.contaminated(odd, items.filter("false"), ["doc_id"]).count() == 0
 
 

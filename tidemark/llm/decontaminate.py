@@ -1,11 +1,14 @@
 """Benchmark decontamination: a BM25 inverted index of test items with block-max WAND.
 
-Every document is cut into overlapping passages (each at least as long as the longest
-item, stepping by half), and every passage is a query against the index of test items.
-Scores are BM25 as a share of the item's own best score, so one threshold fits items of any
-length; all items at or above it are retrieved. Pruning is exact: for every passage the largest
-impacts of its terms in a block of items are added up (many passages at once), and only
-items of blocks whose bound reaches the threshold are scored. A retrieved item is verified in the document's passage
+Items are classed by length: a class's window is the least power of two, 64 or more, that
+holds its items' words. Every document is cut into passages of each class's window, stepping by
+half, and every passage is a query against the index of that class's items; so what is found of an
+item depends on the item and the document only. Scores are BM25 as a share of the item's own
+best score, so one threshold fits items of any length; all items at or above it are
+retrieved. Pruning is exact: a passage's lists stand in order of their largest impacts, and
+those behind the pivot, which together stay below the threshold, are not opened; to the largest
+impacts of the others in a block of items what is behind the pivot is added, and only items of blocks
+whose bound reaches the threshold are scored (many passages at once). A retrieved item is verified in the document's passage
 widened on both sides by the item's length: the shares of its question's and of its answer's
 five-word shingles that stand there must both reach ``overlap``. With ``edited``, as op4 and the
 pipeline ask for it, also an item is found of whose whole the share reaches ``overlap``, so its
@@ -15,12 +18,14 @@ edits shorter shingles count too (``gram``).
 An item's question is what stands before its last line break (else its last sentence; else
 its first two thirds), the answer the rest.
 
-Items are read in shards of bounded bytes, each indexed once on the driver and sent to the
-executors, so the broadcast has a proven bound; BM25's statistics are those of all items.
+Items are read in shards of bounded bytes (``SHARD_BYTES``), each indexed once on the driver and sent to the
+executors, so the broadcast has a proven bound; BM25's statistics are those of all items. The
+corpus is read once for each shard.
 
 Defined results: null and empty texts match nothing, and null or word-less items are left
 out; repeated documents are reported each; repeated items by their ids; an empty table of
-either kind gives an empty result; extra columns are not read.
+either kind gives an empty result; extra columns are not read; id columns named like a
+result column (item_id, score, question_overlap, answer_overlap) are left out.
 """
 
 from __future__ import annotations
@@ -35,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import settle
+from .base import ranges, settle
 
 THRESHOLD, OVERLAP, GRAM = 0.5, 0.5, 5
 K1, B, BLOCK = 1.2, 0.75, 8
 #: Passages whose bounds are added up together.
 SLAB = 256
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 32 << 20
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -71,85 +76,112 @@ def gram(n: int) -> int:
     return 1 if n <= 4 else 2 if n < 16 else 3 if n < 24 else GRAM
 
 
-class Index:
-    """Postings of one shard of items, in blocks, with the largest impact of each block."""
+def window(n: int) -> int:
+    """Words a passage for items of ``n`` words."""
+    return max(64, 1 << (n - 1).bit_length())
+
+
+class Lists:
+    """Postings of the items of one class, in blocks, with the largest impact of each block and list."""
+
+    def __init__(self, size: int, postings: dict[int, list[tuple[int, float]]], n_items: int):
+        self.step, self.n_blocks = size // 2, -(-n_items // BLOCK)
+        terms = sorted(postings)
+        self.row = {t: i for i, t in enumerate(terms)}
+        self.items = [np.array([n for n, _ in postings[t]], np.int64) for t in terms]
+        self.impacts = [np.array([x for _, x in postings[t]]) for t in terms]
+        blocks, tops = [], []
+        for items, impacts in zip(self.items, self.impacts, strict=True):
+            block, start = np.unique(items // BLOCK, return_index=True)
+            blocks.append(block)
+            tops.append(np.maximum.reduceat(impacts, start))
+        self.many = np.array([len(b) for b in blocks], np.int64)
+        self.first = np.cumsum(self.many) - self.many
+        self.blocks, self.block_tops = np.concatenate(blocks), np.concatenate(tops)
+        self.tops = np.array([t.max() for t in tops])
+
+    def rows_of(self, n_terms: int) -> np.ndarray:
+        out = np.full(n_terms + 1, -1, np.int64)
+        out[list(self.row)] = list(self.row.values())
+        return out
 
-    def __init__(self, items: list[tuple[int, str]], idf: dict[bytes, float], average: float):
-        self.ids = [i for i, _ in items]
-        self.parts = [question_and_answer(t) for _, t in items]
-        self.wholes = [words_of(t.encode()) for _, t in items]
-        self.lengths = [len(w) for w in self.wholes]
-        self.term: dict[bytes, int] = {}
-        postings: list[list[tuple[int, float]]] = []
-        for n, (_, text) in enumerate(items):
-            counts = Counter(words_of(text.encode()))
-            dl = sum(counts.values())
-            impact = {w: idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average)) for w, tf in counts.items()}
-            total = sum(impact.values())
-            for w, x in impact.items():
-                at = self.term.setdefault(w, len(self.term))
-                if at == len(postings):
-                    postings.append([])
-                postings[at].append((n, x / total))
-        self.items = [np.array([n for n, _ in p], np.int64) for p in postings]
-        self.impacts = [np.array([x for _, x in p]) for p in postings]
-        self.blocks, self.block_max = [], []
-        for items_of, impacts in zip(self.items, self.impacts, strict=True):
-            block, start = np.unique(items_of // BLOCK, return_index=True)
-            self.blocks.append(block)
-            self.block_max.append(np.maximum.reduceat(impacts, start))
-        sizes = [len(b) for b in self.blocks]
-        self.first, self.many = np.cumsum(sizes) - sizes, np.array(sizes, np.int64)
-        self.flat_blocks = np.concatenate(self.blocks) if sizes else np.zeros(0, np.int64)
-        self.flat_max = np.concatenate(self.block_max) if sizes else np.zeros(0)
-        self.n_blocks = -(-len(items) // BLOCK)
-        self.step = max(32, -(-max(self.lengths, default=0) // 2))
-
-    def live(self, passages: np.ndarray, terms: np.ndarray, n: int, threshold: float) -> np.ndarray:
-        """passage x block: whether the block's bound reaches the threshold. (passages, terms): distinct pairs."""
-        many = self.many[terms]
-        at = np.repeat(self.first[terms] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        cell = np.repeat(passages * self.n_blocks, many) + self.flat_blocks[at]
-        return np.bincount(cell, weights=self.flat_max[at], minlength=n * self.n_blocks).reshape(n, self.n_blocks) >= threshold
-
-    def search(self, terms: np.ndarray, live: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """All items of live blocks whose score for the distinct ``terms`` is at least ``threshold``."""
-        items, impacts = np.concatenate([self.items[t] for t in terms]), np.concatenate([self.impacts[t] for t in terms])
+    def live(self, passages: np.ndarray, lists: np.ndarray, n: int, threshold: float) -> np.ndarray:
+        """passage x block: whether the block's bound reaches the threshold. (passages, lists): distinct pairs, by passage."""
+        order = np.lexsort((-self.tops[lists], passages))
+        passages, lists = passages[order], lists[order]
+        tops = self.tops[lists]
+        through = np.cumsum(tops)
+        last = np.append(passages[1:] != passages[:-1], True)
+        whole = np.bincount(passages, weights=tops, minlength=n)
+        before = np.concatenate([[0.0], through[last]])[np.concatenate([[0], np.cumsum(last)[:-1]])]
+        behind = whole[passages] - (through - tops - before)  # of this list and those after it
+        opened = behind >= threshold
+        rest = whole - np.bincount(passages[opened], weights=tops[opened], minlength=n)
+        passages, lists = passages[opened], lists[opened]
+        at = ranges(self.first[lists], self.many[lists])
+        cell = np.repeat(passages * self.n_blocks, self.many[lists]) + self.blocks[at]
+        sums = np.bincount(cell, weights=self.block_tops[at], minlength=n * self.n_blocks).reshape(n, self.n_blocks)
+        return (sums > 0) & (sums + rest[:, None] >= threshold)
+
+    def search(self, lists: np.ndarray, live: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """All items of live blocks whose score for the distinct ``lists`` is at least ``threshold``."""
+        items, impacts = np.concatenate([self.items[t] for t in lists]), np.concatenate([self.impacts[t] for t in lists])
         inside = live[items // BLOCK]
         scores = np.bincount(items[inside], weights=impacts[inside])
         return [(int(i), float(scores[i])) for i in np.flatnonzero(scores >= threshold)]
 
-    def candidates(self, ids: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
-        """(first word of the passage, item, score) of every passage and item that reach the threshold."""
-        at = np.flatnonzero(ids >= 0)
-        slack, total = threshold * (1 - 1e-9), max(1, -(-len(ids) // self.step) - 1)
-        pairs = np.concatenate([at // self.step, at // self.step - 1])
-        terms = np.concatenate([ids[at], ids[at]])
+    def candidates(self, rows: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
+        """(first word of the passage, item, score) of every passage and item that reach the threshold. ``rows``: each word's list, or -1."""
+        at = np.flatnonzero(rows >= 0)
+        slack, total = threshold * (1 - 1e-9), max(1, -(-len(rows) // self.step) - 1)
+        pairs, lists = np.concatenate([at // self.step, at // self.step - 1]), np.concatenate([rows[at], rows[at]])
         inside = (pairs >= 0) & (pairs < total)
-        pairs = np.unique(pairs[inside] * len(self.term) + terms[inside])
-        passages, terms = pairs // max(1, len(self.term)), pairs % max(1, len(self.term))
+        pairs = np.unique(pairs[inside] * len(self.items) + lists[inside])
+        passages, lists = pairs // len(self.items), pairs % len(self.items)
         for low in range(0, total, SLAB):
             a, b = np.searchsorted(passages, [low, low + SLAB])
             if a == b:
                 continue
-            live = self.live(passages[a:b] - low, terms[a:b], SLAB, slack)
+            live = self.live(passages[a:b] - low, lists[a:b], SLAB, slack)
             for k in np.flatnonzero(live.any(axis=1)):
                 i, j = np.searchsorted(passages, [low + k, low + k + 1])
-                for item, score in self.search(terms[i:j], live[k], slack):
+                for item, score in self.search(lists[i:j], live[k], slack):
                     yield (low + int(k)) * self.step, item, score
 
+
+class Index:
+    """One shard of items: words, parts, and a class's posting lists by its window."""
+
+    def __init__(self, items: list[tuple[int, str]], idf: dict[bytes, float], average: float):
+        self.ids = [i for i, _ in items]
+        self.parts = [question_and_answer(t) for _, t in items]
+        self.wholes = [words_of(t.encode()) for _, t in items]
+        self.term: dict[bytes, int] = {}
+        classes: dict[int, dict[int, list[tuple[int, float]]]] = defaultdict(lambda: defaultdict(list))
+        members: dict[int, list[int]] = defaultdict(list)
+        for n, words in enumerate(self.wholes):
+            impact = {w: idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / average)) for w, tf in Counter(words).items()}
+            total, size = sum(impact.values()), window(len(words))
+            for w, x in impact.items():
+                classes[size][self.term.setdefault(w, len(self.term))].append((len(members[size]), x / total))
+            members[size].append(n)
+        self.lists = [(Lists(size, postings, len(members[size])), np.array(members[size])) for size, postings in sorted(classes.items())]
+        self.rows = [lists.rows_of(len(self.term)) for lists, _ in self.lists]
+
     def matches(self, text: bytes, threshold: float, overlap: float, edited: bool = False) -> list[tuple[int, float, float, float]]:
         """(item, score, question overlap, answer overlap) of every verified item."""
         words = words_of(text)
         if not words:
             return []
-        ids = np.fromiter(map(self.term.get, words, repeat(-1)), np.int64, len(words))
+        terms = np.fromiter(map(self.term.get, words, repeat(len(self.term))), np.int64, len(words))
         best: dict[int, float] = {}
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for start, item, score in self.candidates(ids, threshold):
-            best[item] = max(best.get(item, 0.0), score)
-            wide = self.lengths[item]
-            places[item].append((max(0, start - wide), min(len(words), start + 2 * self.step + wide)))
+        for (lists, members), rows in zip(self.lists, self.rows, strict=True):
+            for start, at, score in lists.candidates(rows[terms], threshold):
+                item = int(members[at])
+                best[item] = max(best.get(item, 0.0), score)
+                wide = len(self.wholes[item])
+                places[item].append((max(0, start - wide), min(len(words), start + 2 * lists.step + wide)))
         out = []
         for item, score in best.items():
             question, answer = self.parts[item]
@@ -211,6 +243,8 @@ def indexes(items: DataFrame, item_col: str, text_col: str, shard_bytes: int = S
 
 def contaminated(docs: DataFrame, items: DataFrame, id_cols: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_bytes: int = SHARD_BYTES, edited: bool = False) -> DataFrame:
     """One row for each document and test item found in it: ids, item_id, score, question_overlap, answer_overlap."""
+    id_cols = [c for c in id_cols if c not in ("item_id", "score", "question_overlap", "answer_overlap")]
+    item_arrow = items.select(item_col).limit(0).toArrow().schema.field(0).type
     kept = docs.select(*[F.col(c) for c in id_cols], F.col(text_col).cast("string").cast("binary").alias("__bytes"))
     item_type = items.schema[item_col].dataType.simpleString()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + f", item_id {item_type}, score double, question_overlap double, answer_overlap double"
@@ -227,13 +261,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_cols: list[str], text_col
                         rows.append(n)
                         found.append(match)
                 ids = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
-                values = list(zip(*found, strict=True)) if found else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(values[0], _arrow(item_type)), *[pa.array(v, pa.float64()) for v in values[1:]]], names=[*id_cols, "item_id", "score", "question_overlap", "answer_overlap"])
+                values = list(zip(*found, strict=True)) if found else [[]] * 4
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(values[0], item_arrow), *[pa.array(v, pa.float64()) for v in values[1:]]], names=[*id_cols, "item_id", "score", "question_overlap", "answer_overlap"])
 
         part = kept.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

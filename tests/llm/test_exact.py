@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -466,6 +467,55 @@ def test_base_spans_equal_the_patterns(spark):
         assert set(want) <= set(r["spans"].split(",")) | {""}
 
 
+def test_running_sums_and_cuts(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.randint(0, 9) for _ in range(n)], "".join(rng.choices("aé😀 \n", k=n))) for i, n in enumerate([0, 1, 2, 15, 16, 17, 18, 99, 1000, 1537])]
+    df = spark.createDataFrame(rows, "i int, xs array<int>, text string")
+    low, high = F.lit(500), F.lit(1030)
+    out = df.select("i", pii.running(F.col("xs"), lambda a, b: a + b).alias("sums"), pii.running(F.col("xs"), F.greatest).alias("tops"), pii.cut(pii.pieces(F.col("text")), low, high).alias("cut"), pii.cut(pii.pieces(F.col("text")), F.lit(0), F.length("text")).alias("all"))
+    for r in out.collect():
+        xs, text = rows[r["i"]][1:]
+        assert r["sums"] == [sum(xs[: k + 1]) for k in range(len(xs))] and r["tops"] == [max(xs[: k + 1]) for k in range(len(xs))]
+        assert r["cut"] == text[500:1030] and r["all"] == text
+
+
+def test_a_text_of_very_many_spans(spark):
+    """Work grows with the text, not with the square of its spans: a log of 30,000 addresses and as many candidates beside them."""
+    text = " ".join(f"10.{i % 250}.{i % 7}.9, 212 555 {i % 9000 + 1000} call;" for i in range(30_000))
+    began = time.time()
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.personal_data(df, ["doc_id"]).first()
+    assert r["n_ip"] == 30_000 and hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest() == r["base_sha256"]
+    clean = pii.redact(df).first()["text"]
+    assert clean.count("[ip]") == 30_000 and clean.startswith("[ip], ")
+    assert time.time() - began < 120
+
+
+def test_expectation_finds_the_reliable_labelers():
+    """Votes made by labelers of known reliability: EM ranks them, and its probabilities are near the truth."""
+    rng, counts, true = random.Random(11), Counter(), Counter()
+    good = [0.95, 0.9, 0.9, 0.8, 0.55, 0.5, 0.5]
+    for _ in range(6000):
+        yes = rng.random() < 0.6
+        votes = "".join("1" if rng.random() < 0.2 else "2" if yes == (rng.random() < g) else "0" for g in good)
+        counts[votes] += 1
+        true[votes] += yes
+    belief, rates = pii.expectation({v: float(n) for v, n in counts.items()})
+    sharp = [r[1][2] / (r[1][2] + r[0][2]) for r in rates]
+    assert sharp[0] > sharp[3] > sharp[5] and min(sharp[:3]) > 0.8
+    wrong = sum(n for v, n in counts.items() if (belief[v] >= 0.5) != (true[v] * 2 >= n)) / sum(counts.values())
+    assert wrong < 0.05
+
+
+def test_odd_rows_keep_their_spans(spark, odd):
+    """Repeated rows each get theirs; base spans and added ones, in long texts with many."""
+    text = "mail a.b@c.de, " + "tel 212 555 2485; " * 500 + "end"
+    df = spark.createDataFrame([(1, text, 1), (1, text, 1), (None, text, 2)], "doc_id long, text string, spans int")
+    rows = pii.personal_data(df, ["doc_id", "spans"]).collect()
+    assert len(rows) == 3 and len({r["spans"] for r in rows}) == 1
+    assert rows[0]["spans"].startswith("email:5:13") and rows[0]["spans"].count("phone") == 500
+
+
 def test_weak_supervision_adds_spans(spark, odd, empty):
     good = ["call me: 212 555 2485 today", "tel (312) 555-9876.", "mail jo.doe [at] example-mail [dot] org now", "SSN 123-45-6789, please"]
     bad = ["version 212 555 2485x", "order 000-00-0000", "nothing here", "figure 1.2"]

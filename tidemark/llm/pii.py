@@ -12,9 +12,11 @@ number is bounded by the labelers (3^7 times kinds and lengths), not by the data
 classifier is applied as a column expression.
 
 Positions: splitting by a pattern and extracting its matches give alternating pieces, whose
-lengths add up to code-point positions. Patterns start only at the start of a run of their
+lengths add up to code-point positions; sums run in blocks of about the square root of their
+number (``running``), and text at a position is cut from pieces of ``PIECE`` characters (``cut``), so a text of very many
+spans costs little more than its length. Patterns start only at the start of a run of their
 first class (or where the last match ended) and take runs possessively, which finds the
-same matches in linear time.
+same matches in linear time. Wider patterns take runs of any length, too.
 
 Defined results: null text is empty and has no spans; repeated rows each get theirs; texts
 are searched whole; without candidates nothing is added; an empty table gives an empty
@@ -24,6 +26,7 @@ result; extra columns ride along except those named like a result column.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -43,7 +46,7 @@ BASE = {
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": "+"}
 #: Wider patterns for candidates.
 WIDER = {
-    "email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9][A-Za-z0-9._-]{1,40}+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,40}+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{2,20}+){1,3}+",
+    "email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9][A-Za-z0-9._-]++ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{2,}+)++",
     "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "national_id": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
@@ -57,22 +60,59 @@ BEFORE_YES = r"(?i)(?:mail|contact|write|reach|tel|phone|call|mobile|fax|whatsap
 BEFORE_NO = r"(?i)(?:version|release|licen[sc]e|isbn|issn|doi|page|chapter|section|order|invoice|item|sku|part|model|build|id|no\.?|nr\.?|figure|table)\W{0,4}$"
 PLACEHOLDER = r"(?:0{5,}|1{6,}|9{6,}|1234567|example\.(?:com|org|net)$|^127\.0\.0\.1$|^0\.0\.0\.0$|555-01[0-9]{2})"
 LABELERS = 7
-_SPAN = "array<struct<start:int,end:int,value:string>>"
+PIECE = 512
+_SPANS = "array<struct<kind:string,start:int,end:int,votes:string>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where a lambda uses it for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Running sums of an array of INT (or largest ones so far, as ``add`` says), block by block: a growing array is copied with every element."""
+
+    def scan(xs: Column) -> Column:
+        return F.aggregate(xs, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(add(F.element_at(acc, -1), x)))))
+
+    def joined(parts: Column, heads: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda x: add(F.get(heads, i - 1), x)))))
+
+    def blocks(v: Column, size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1), lambda i: scan(F.slice(v, i * size + 1, size)))
+
+    def whole(v: Column) -> Column:
+        return let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda size: let(blocks(v, size), lambda parts: let(scan(F.transform(parts, lambda p: F.element_at(p, -1))), lambda heads: joined(parts, heads))))
+
+    return let(values, lambda v: F.when(F.size(v) <= 16, scan(v)).otherwise(whole(v)))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches with code-point positions, end exclusive."""
-    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("piece"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["pos"] + F.length(x["1"])
-        end = begin + F.length(x["0"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["0"].alias("value")))
-        return F.when(x["0"].isNull(), acc).otherwise(F.struct(end.alias("pos"), F.concat(acc["out"], one).alias("out")))
+    def placed(b: Column) -> Column:
+        lengths = F.transform(b["found"], lambda x, i: F.length(x) + F.length(F.get(b["pieces"], i)))
+        return let(running(lengths, _sum), lambda ends: F.transform(b["found"], lambda x, i: F.struct((F.get(ends, i) - F.length(x)).alias("start"), F.get(ends, i).alias("end"), x.alias("value"))))
 
-    parts = F.transform(parts, lambda x: F.struct(x.getField("found").alias("0"), x.getField("piece").alias("1")))
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return let(both, placed)
+
+
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to before ``end``, of its ``pieces``."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    piece = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+    one = F.substr(piece(first), start % PIECE + 1, end - start)
+    many = F.concat(F.substr(piece(first), start % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(parts, first + 2, last - first - 1), ""), F.substr(piece(last), F.lit(1), end % PIECE))
+    return F.when(end <= start, F.lit("")).when(first == last, one).otherwise(many)
 
 
 def _digits(value: Column) -> Column:
@@ -111,12 +151,11 @@ def _hinted(text: Column, kind: str) -> Column:
     return F.contains(text, F.lit(HINT[kind])) if kind in ("email", "phone") else F.regexp_like(text, F.lit(HINT[kind]))
 
 
-def _votes(kind: str, x: Column, text: Column, based: bool) -> Column:
-    """The seven votes on a span as one string of 0 (no), 1 (no opinion), 2 (yes)."""
+def _votes(kind: str, x: Column, parts: Column, based: bool) -> Column:
+    """The seven votes on a span as one string of 0 (no), 1 (no opinion), 2 (yes). ``parts``: the text's ``pieces``."""
     value = x["value"]
-    first = F.greatest(x["start"] - 40, F.lit(0))
-    before = F.substr(text, first + 1, x["start"] - first)
-    near = F.concat(F.when(x["start"] > 0, F.substr(text, x["start"], F.lit(1))).otherwise(F.lit(" ")), F.lit("\n"), F.substr(text, x["end"] + 1, F.lit(1)))
+    before = cut(parts, F.greatest(x["start"] - 40, F.lit(0)), x["start"])
+    near = F.concat(F.when(x["start"] > 0, cut(parts, x["start"] - 1, x["start"])).otherwise(F.lit(" ")), F.lit("\n"), cut(parts, x["end"], x["end"] + 1))
     length = F.length(value)
     usual = {"email": (8, 60), "ip": (7, 15), "card": (16, 23), "phone": (9, 22), "national_id": (11, 11), "iban": (15, 42)}[kind]
     listed = {
@@ -143,18 +182,33 @@ def find(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` and, as arrays of (kind, start, end, votes), ``__base`` and ``__more``: base spans and candidates."""
     text = F.col("__text")
     df = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,votes:string>>")
+    none = F.array().cast(_SPANS)
 
     def shaped(kind: str, found: Column, based: bool) -> Column:
-        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _votes(kind, x, text, based).alias("votes")))
+        voted = lambda xs: let(pieces(text), lambda parts: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _votes(kind, x, parts, based).alias("votes"))))
+        return let(found, lambda xs: F.when(F.size(xs) == 0, none).otherwise(voted(xs)))
 
     base = {k: F.when(_hinted(text, k), shaped(k, _checked(k, matches(text, BASE[k])), True)).otherwise(none) for k in KINDS}
     spelled = F.contains(text, F.lit("[at]")) | F.contains(text, F.lit("(at)"))
     numbered = F.regexp_like(text, F.lit(r"[0-9]{3}[) .-]|[A-Z]{2}[0-9]{2}"))
     wider = [F.when(spelled if k == "email" else numbered, shaped(k, matches(text, p), False)).otherwise(none) for k, p in WIDER.items()]
-    df = df.select("*", F.concat(*base.values()).alias("__base"), F.concat(*wider).alias("__wide"))
-    apart = F.filter("__wide", lambda c: ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return df.select(*keep, "__text", "__base", apart.alias("__more"))
+    df = df.select("*", F.struct(F.concat(*base.values()).alias("base"), F.concat(*wider).alias("wide")).alias("__found"))
+    return df.select(*keep, "__text", F.col("__found.base").alias("__base"), let(F.col("__found"), _apart).alias("__more"))
+
+
+def _apart(found: Column) -> Column:
+    """Wider spans that no base span overlaps. Of all spans in order of start, a wider one is clear if every base span before it ends before it, and the next after it starts behind it."""
+    shape = lambda based: lambda x: F.struct(x["start"].alias("start"), F.lit(based).alias("based"), x["end"].alias("end"), x.alias("span"))
+    line = F.array_sort(F.concat(F.transform(found["base"], shape(True)), F.transform(found["wide"], shape(False))))
+    never = 1 << 30
+
+    def clear(xs: Column) -> Column:
+        ends = running(F.transform(xs, lambda x: F.when(x["based"], x["end"]).otherwise(F.lit(-1))), F.greatest)
+        starts = F.reverse(running(F.transform(F.reverse(xs), lambda x: F.when(x["based"], -x["start"]).otherwise(F.lit(-never))), F.greatest))
+        kept = lambda e, s: F.filter(xs, lambda x, i: ~x["based"] & (F.get(e, i) <= x["start"]) & (-F.get(s, i) >= x["end"]))
+        return let(ends, lambda e: let(starts, lambda s: F.transform(kept(e, s), lambda x: x["span"])))
+
+    return F.when((F.size(found["base"]) == 0) | (F.size(found["wide"]) == 0), found["wide"]).otherwise(let(line, clear))
 
 
 def _length_class(x: Column) -> Column:
@@ -245,18 +299,19 @@ def personal_data(docs: DataFrame, keep: list[str], text_col: str = "text") -> D
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span's text replaced by its kind in square brackets; other columns as they are."""
-    weights = fit(settle(find(docs, [], text_col).drop("__text"), "pii-spans"))
     columns = docs.columns
-    done = accept(find(docs, columns, text_col), weights)
+    found = settle(find(docs, columns, text_col), "pii-texts")
+    done = accept(found, fit(found))
     # in order of place; a span that begins inside the one before it goes with it
     line = F.array_sort(F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substr(F.col("__text"), acc["pos"] + 1, F.greatest(x["start"] - acc["pos"], F.lit(0)))
-        label = F.when(x["start"] >= acc["pos"], F.concat(F.lit("["), x["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), F.concat(acc["out"], gap, label).alias("out"))
+    def replaced(xs: Column, ends: Column, parts: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            past = F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+            return F.when(x["start"] < past, F.lit("")).otherwise(F.concat(cut(parts, past, x["start"]), F.lit("["), x["kind"], F.lit("]")))
+
+        return F.concat(F.array_join(F.transform(xs, piece), ""), cut(parts, F.element_at(ends, -1), F.length("__text")))
 
-    clean = F.aggregate(line, start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("__text"), acc["pos"] + 1, F.length("__text"))))
+    clean = let(line, lambda xs: let(running(F.transform(xs, lambda x: x["end"]), F.greatest), lambda ends: let(pieces(F.col("__text")), lambda parts: replaced(xs, ends, parts))))
     clean = F.when(F.size("__spans") == 0, F.col(text_col)).otherwise(clean)
     return done.withColumn("__clean", clean).select(*[F.col("__clean").alias(c) if c == text_col else F.col(c) for c in columns])

@@ -37,38 +37,43 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame, label: str, packed: bool = False, by: str | None = None, release: bool = False) -> DataFrame:
+def settle(df: DataFrame, label: str, packed: bool = False, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
     This cuts the lineage at a place that survives the loss of executors, and gives the
     planner the real size, so it broadcasts the table only below the session's threshold.
-    ``packed`` compresses harder; ``by`` partitions the table by a column. The returned
+    Shuffle files of the job go when it ends (Spark 4.1; before that, when the driver collects its plan). ``packed`` compresses harder; ``by`` partitions the table by a column. The returned
     table's ``discard(part)`` deletes it, or one partition folder, once no later step reads
-    it. ``release``, after a large shuffle: ask the driver's JVM to collect, as Spark deletes
-    a finished job's shuffle files only when its plan is collected.
+    it.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd") if packed else df.write
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        (writer.partitionBy(by) if by else writer).parquet(path)
     fields = [f for f in df.schema.fields if f.name != by] + [f for f in df.schema.fields if f.name == by]
     out = spark.read.schema(StructType(fields)).parquet(path).select(*df.columns)
     out.discard = lambda part="": _delete(spark, path + part)
-    if release:
-        spark.sparkContext._jvm.System.gc()
     return out
 
 
 @contextmanager
-def one_by_one(spark: SparkSession) -> Iterator[None]:
-    """Jobs run inside hand rows to Python one at a time: for tables whose rows are large."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "1")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Jobs run inside have another value of a runtime setting."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(setting, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def one_by_one(spark: SparkSession):
+    """Jobs run inside hand rows to Python one at a time: for tables whose rows are large."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -86,9 +91,9 @@ def power_of_two(x: float, least: int) -> int:
     return max(least, 1 << max(0, int(np.ceil(np.log2(max(1.0, x))))))
 
 
-def fold(df: DataFrame, column: str, modulus: int) -> Column:
-    """crc32 of the id's decimal text, modulo: the hold-out rule (null ids count as 0)."""
-    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0)) % modulus
+def held_out(df: DataFrame, column: str, modulus: int, remainder: int) -> Column:
+    """The hold-out rule: crc32 of the id's decimal text, modulo, is the remainder. A row with a null id is never held out."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
 class WordHash(dict):

@@ -42,15 +42,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WordHash, fold, mix, narrow, one_by_one, power_of_two, settle, size_hint, words_of
+from .base import WordHash, held_out, mix, narrow, one_by_one, power_of_two, settle, size_hint, words_of
 
 K, ORDER = 5, 2
 #: Tokens and documents a batch, and stored bytes of input a part of the n-grams.
-BATCH_TOKENS, BATCH_DOCS, PART_BYTES = 1_500_000, 1 << 16, 8 << 20
+BATCH_TOKENS, BATCH_DOCS, PART_BYTES = 1_800_000, 1 << 16, 8 << 20
 #: No word holds a newline, so these can't be words.
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b"\n</s>", b"\n<s>"))
 _END = np.array([END], np.uint64)
@@ -77,12 +78,12 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_counts(x: np.ndarray) -> bytes:
-    """Whole numbers below 2^32 as four runs of bytes: the upper ones are mostly zero and compress to nothing."""
-    return np.ascontiguousarray(np.asarray(x).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Whole numbers below 2^32 as four runs of bytes, compressed: the upper ones are mostly zero."""
+    return zstandard.compress(np.ascontiguousarray(np.asarray(x).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
 def gram_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -400,11 +401,10 @@ def _score(model: Model, rounds: int):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, held_out: int = 0, order: int = ORDER) -> DataFrame:
-    """Base and Katz log10 probability of every row's text; training rows are those whose crc32(id) mod ``modulus`` isn't ``held_out``. ``order``: words of the longest n-grams."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 10, remainder: int = 0, order: int = ORDER) -> DataFrame:
+    """Base and Katz log10 probability of every row's text; training rows are those whose crc32(id) mod ``modulus`` isn't ``remainder``. ``order``: words of the longest n-grams."""
     bits = int(math.log2(power_of_two(size_hint(docs) / PART_BYTES, 64)))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), (fold(docs, id_col, modulus) == held_out).alias("held"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    base = base.withColumn("held", F.when(F.col("id").isNull(), F.lit(False)).otherwise(F.col("held")))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), held_out(docs, id_col, modulus, remainder).alias("held"), F.col(text_col).cast("string").cast("binary").alias("text"))
     batches = settle(base.mapInArrow(_batches, _BATCH), "lm-batches", packed=True)
     texts, tokens = batches.agg(F.sum("texts"), F.sum("training")).first()
     model = Model(texts or 0, tokens or 0, bits, None, [], [], [])
@@ -417,15 +417,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         return out.groupBy("batch")
 
     for length in range(1, order + 1):
-        asked = everything().applyInArrow(_ask(model, length - 1), _ASK) if answers else batches.mapInArrow(_ask_words(model), _ASK)
-        with one_by_one(docs.sparkSession):
-            told = settle(asked.groupBy("part").applyInArrow(_tell(model, length), _TELL), f"lm-{length}", packed=True, by="kind", release=True)
+        told = _round(batches.mapInArrow(_ask_words(model), _ASK) if length == 1 else everything().applyInArrow(_ask(model, length - 1), _ASK), model, length)
         tallies = {r["r"]: r["many"] for r in told.filter("kind = 2").groupBy("r").agg(F.sum("c").alias("many")).collect()}
         model.tallied.append(_of_hot(told, model.hot[-1]) if answers else np.zeros((0, K + 1)))
-        hot = np.sort(np.array([r["r"] for r in told.filter("kind = 3").select("r").collect()], np.int64).view(np.uint64))  # at most a thousand, as each holds a thousandth
+        hot = np.array([r["r"] for r in told.filter("kind = 3").select("r").collect()], np.int64).view(np.uint64)  # at most a thousand, as each holds a thousandth
         if length == 1:
             model.words = Words(model.tokens, tallies.get(0, 0), tallies)
         model.d.append(discounts(tallies))
         model.hot.append(np.unique(np.append(hot, np.uint64(START))))
         answers.append(told.filter("kind = 1"))
     return everything().applyInArrow(_score(model, order), RESULT)
+
+
+def _round(asked: DataFrame, model: Model, length: int) -> DataFrame:
+    """All parts' answers, stored."""
+    with one_by_one(asked.sparkSession):
+        return settle(asked.groupBy("part").applyInArrow(_tell(model, length), _TELL), f"lm-{length}", packed=True, by="kind")

@@ -49,8 +49,7 @@ def test_chunks_cover_every_byte():
     for n in (0, 1, 7, 8, 9, quality.CHUNK, quality.CHUNK + 1, 5000):
         text = bytes(np.random.default_rng(n).integers(1, 255, n, dtype=np.uint8))
         rows = quality.chunks_of(text)
-        step = quality.PLACES * quality.STEP
-        joined = rows[0].tobytes() + b"".join(r[quality.CHUNK - step :].tobytes() for r in rows[1:])
+        joined = rows[0].tobytes() + b"".join(r[quality.CHUNK - quality.PLACES :].tobytes() for r in rows[1:])
         assert joined[:n] == text and not any(joined[n:])
 
 

@@ -4,14 +4,14 @@ Every source gets a target in words: its weight's share of the total, at most
 ``max_repeat`` times what it holds, the excess going to the others by weight until none is
 above (a water level: target = min(cap, level * weight)). Equal blocks of ``block`` words
 are seats. Sainte-Lague gives them to sources by the highest quotients target / (2k+1),
-then each source's seats to its shards by their sizes. Within a shard the documents stand
+then each source's seats to ranges of ``RANGE`` to some power of its shards by their sizes, a range's to its parts, and so on down to shards. Within a shard the documents stand
 in seeded random order; the shard's seats beyond whole passes go to blocks at a seeded
 offset and equal steps. A document takes the words of its that chosen blocks cover.
 
 Seats that no quotient race can change are given in closed form; only the last few seats
 of each party compete, so the race has a few
 rows a party however large the corpus is. A source is split into shards of about
-``shard`` words, so a hot source spreads over many tasks.
+``shard`` words, and no race has more than ``RANGE`` parties but that of the sources, so a hot source spreads over many tasks.
 
 Defined results: null text counts 0 words and takes 0; a null source is a source of its
 own, ordered last, an empty one an ordinary source; repeated rows are separate documents
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .base import WORD, settle
 
 BLOCK = 8
-SHARD = 32_768
+SHARD, RANGE = 32_768, 1024
 _KEY = "__source"
 
 
@@ -101,14 +101,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # a document's place: its shard and the words before it there, in seeded order
     place = F.pmod(F.conv(F.substring("__order", 1, 8), 16, 10).cast("long"), F.col("__shards"))
     placed = sized.join(quotas, _KEY).withColumn("__shard", place)
-    shards = placed.groupBy(_KEY, "__shard").agg(F.sum("size").alias("__words"), F.first("source_seats").alias("source_seats"))
+    shards = placed.groupBy(_KEY, "__shard").agg(F.sum("size").alias("__words"))
     shards = shards.withColumn("__blocks", F.ceil(F.col("__words") / block).cast("long")).withColumn("__most", F.col("__blocks") * max_repeat)
-    seated = settle(sainte_lague(shards, [_KEY], ["__shard"], "__words", "source_seats", "__most", "__quota").select(_KEY, "__shard", "__blocks", "__words", "__quota"), "mix-shards")
+    seated = _seats_of_shards(settle(shards, "mix-shards"), quotas)
     line = Window.partitionBy(_KEY, "__shard").orderBy("__order", "size", "__text")
     lined = placed.withColumn("__end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).join(seated, [_KEY, "__shard"])
     return lined.select(*keep, "size", "source_size", "target", _taken(block, seed).alias("taken"))
 
 
+def _seats_of_shards(shards: DataFrame, quotas: DataFrame, ranged: int = RANGE) -> DataFrame:
+    """Every shard's quota: a source's seats go to ranges of its shards, a range's to its parts, the last ones are shards."""
+    widest, width = quotas.agg(F.max("__shards")).first()[0] or 1, 1
+    while widest > width * ranged:
+        width *= ranged
+    seats = quotas.select(_KEY, F.lit(0).cast("long").alias("__range"), F.col("source_seats").alias("__seats"))
+    while True:
+        of = lambda n: F.floor(F.col("__shard") / n).cast("long")
+        parts = shards.groupBy(_KEY, of(width * ranged).alias("__range"), of(width).alias("__part")).agg(*[F.sum(c).alias(c) for c in ("__words", "__blocks", "__most")])
+        given = sainte_lague(parts.join(seats, [_KEY, "__range"]), [_KEY, "__range"], ["__part"], "__words", "__seats", "__most", "__quota")
+        if width == 1:
+            return settle(given.select(_KEY, F.col("__part").alias("__shard"), "__blocks", "__words", "__quota"), "mix-quotas-of-shards")
+        seats = settle(given.select(_KEY, F.col("__part").alias("__range"), F.col("__quota").alias("__seats")), "mix-ranges")
+        width //= ranged
+
+
 def _taken(block: int, seed: int) -> Column:
     """Words of [end - size, end) that the chosen blocks of the shard cover, passes included."""
     blocks, quota = F.greatest(F.col("__blocks"), F.lit(1)), F.col("__quota")

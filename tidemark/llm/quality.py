@@ -1,7 +1,7 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Bytes are embedded, learned filters of ``WIDTH`` bytes slide over the text with step
-``STEP`` in overlapping chunks that together cover the whole document, a rectifier and a
+Bytes are embedded, learned filters of ``WIDTH`` bytes slide over the text byte by byte
+in overlapping chunks that together cover the whole document, a rectifier and a
 maximum give each chunk's features, and the document has, per filter, the largest and the
 mean of its chunks' features; a linear layer and a sigmoid combine them into one
 probability. Training (Adam on the logistic loss) runs on the driver over a bounded sample
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .samples import labelled_sample
 
-WIDTH, STEP, FILTERS, DIM = 8, 2, 16, 6
+WIDTH, FILTERS, DIM = 8, 16, 6
 #: Window positions a chunk, and its bytes.
-PLACES = 256
-CHUNK = (PLACES - 1) * STEP + WIDTH
+PLACES = 512
+CHUNK = PLACES - 1 + WIDTH
 SLAB = 64
 
 #: Bounds of the training sample, and training settings.
@@ -50,24 +50,23 @@ class Net:
 
 def chunks_of(text: bytes) -> np.ndarray:
     """Overlapping chunks (rows of CHUNK bytes) that cover ``text``; the last is padded with zeros."""
-    n = max(1, -(-max(0, len(text) - WIDTH) // STEP) + 1)
+    n = max(0, len(text) - WIDTH) + 1
     rows = -(-n // PLACES)
-    padded = np.zeros((rows * PLACES - 1) * STEP + WIDTH, np.uint8)
+    padded = np.zeros(rows * PLACES - 1 + WIDTH, np.uint8)
     raw = np.frombuffer(text, np.uint8)[: len(padded)]
     padded[: len(raw)] = raw
-    return np.lib.stride_tricks.as_strided(padded, (rows, CHUNK), (PLACES * STEP, 1))
+    return np.lib.stride_tricks.as_strided(padded, (rows, CHUNK), (PLACES, 1))
 
 
 def features(rows: np.ndarray, tables: np.ndarray, bias: np.ndarray, places: bool = False):
     """Largest activation of each filter in each chunk (before the rectifier), and where."""
     best = np.empty((len(rows), FILTERS), np.float32)
     where = np.empty((len(rows), FILTERS), np.int32) if places else None
-    last = STEP * (PLACES - 1) + 1
     for a in range(0, len(rows), SLAB):
         part = rows[a : a + SLAB]
-        out = tables[0].take(part[:, 0:last:STEP], axis=0)
+        out = tables[0].take(part[:, :PLACES], axis=0)
         for k in range(1, WIDTH):
-            out += tables[k].take(part[:, k : k + last : STEP], axis=0)
+            out += tables[k].take(part[:, k : k + PLACES], axis=0)
         if places:
             where[a : a + SLAB] = out.argmax(axis=1)
         best[a : a + SLAB] = out.max(axis=1)
@@ -107,7 +106,7 @@ def train(sample: list[tuple[bytes, int]], epochs: int = EPOCHS, rate: float = R
             slope = slope + np.where(active == largest[doc], error[doc, None] * net.top[None, :FILTERS], 0)
             slope = np.where(best > 0, slope, 0)
             g_top = np.concatenate([error @ largest, error @ mean]) + 1e-4 * net.top
-            windows = batch[np.arange(len(batch))[:, None, None], where[:, :, None] * STEP + np.arange(WIDTH)]  # chunk x filter x WIDTH
+            windows = batch[np.arange(len(batch))[:, None, None], where[:, :, None] + np.arange(WIDTH)]  # chunk x filter x WIDTH
             seen = net.embed[windows]
             g_filters = np.einsum("cf,cfkd->kdf", slope, seen)
             g_embed = np.zeros_like(net.embed)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, lm, mixing, pii, quality, search, tokens, toxicity, urlfilter
-from .base import fold, table
+from .base import held_out, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,11 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     net = toxicity.fit(docs, labels, "toxic", modulus=3, held_out=1)
     scored = toxicity.apply(docs, net, ["doc_id"], threshold=0.7)
-    return scored.select("doc_id", (fold(scored, "doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out(scored, "doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
 def op3_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"), modulus=10, held_out=0)
+    return lm.score(table(spark, sf_dir, "documents"), modulus=10, remainder=0)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     net = quality.fit(docs, labels, "quality", modulus=5, held_out=0)
     scored = quality.apply(docs, net, ["doc_id"], threshold=0.3)
-    return scored.select("doc_id", (fold(scored, "doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out(scored, "doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

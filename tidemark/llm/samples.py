@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import fold
+from .base import held_out as held
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text", largest: int | None = None) -> list[tuple[bytes, int]]:
@@ -17,7 +17,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     of ``most_bytes`` unless given) are not taken. These three parameters are the only bound in
     fitting: labels of ids without such a row in ``docs`` take no place.
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).filter(fold(labels, id_col, modulus) != held_out)
+    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).filter(~held(labels, id_col, modulus, held_out))
     known = known.groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("__label")).withColumn("__order", F.xxhash64(F.col(id_col).cast("string")))
     size = F.length(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"), size.alias("__size")).filter(F.col(id_col).isNotNull() & (F.col("__size") <= (most_bytes // 8 if largest is None else largest)))

@@ -9,7 +9,8 @@ entry to block is active and none to allow.
 
 Captures with the same host, segment and time have the same verdict, so keys are only made
 for distinct ones (pre-aggregated before the shuffle); verdicts return by a join on all
-three, which spreads a hot host over its times and segments; AQE splits what is left.
+three, which spreads a hot host over its times and segments; AQE splits what is left. A bare
+top-level domain, which a large part of all hosts share, is a key only if a list has such an entry.
 
 Defined results: a null or malformed URL has a null host and isn't blocked, nor is a capture
 without a time; of events of one entry at the same time a removal counts last; a repeated
@@ -47,11 +48,13 @@ def judge(captures: DataFrame, events: DataFrame, url_col: str = "url", time_col
     keep = [c for c in captures.columns if c not in ("host", "n_block", "n_allow", "blocked")]
     marked = captures.select(*keep, host_of(F.col(url_col)).alias("host"), segment_of(F.col(url_col)).alias("__segment"), F.col(time_col).alias("__at"))
     known = marked.filter("host is not null and __at is not null").select("host", "__segment", "__at").distinct()
-    labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")))
+    labels, entries = F.split("host", r"\."), intervals(events)
+    bare = bool(entries.filter((F.col("kind") == "domain") & ~F.contains("pattern", F.lit("."))).take(1))
+    last = F.size(labels) if bare else F.greatest(F.size(labels) - 1, F.lit(1))
+    parents = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")))
     exact = F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("pattern")), F.struct(F.lit("path").alias("kind"), F.concat("host", F.lit("/"), "__segment").alias("pattern")))
     keyed = known.withColumn("key", F.explode(F.concat(exact, parents))).select("host", "__segment", "__at", "key.kind", "key.pattern")
-    active = keyed.join(intervals(events), ["kind", "pattern"]).filter((F.col("since") <= F.col("__at")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
+    active = keyed.join(entries, ["kind", "pattern"]).filter((F.col("since") <= F.col("__at")) & (F.col("until").isNull() | (F.col("__at") < F.col("until"))))
     verdicts = active.groupBy("host", "__segment", "__at").agg(F.count_if(F.col("action") == "block").alias("n_block"), F.count_if(F.col("action") == "allow").alias("n_allow"))
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_block", "n_allow")]
     return marked.join(verdicts, ["host", "__segment", "__at"], "left").select(*keep, "host", *counts).withColumn("blocked", (F.col("n_block") > 0) & (F.col("n_allow") == 0))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
+from .medians import with_median
 from .pyramid import is_missing
 from .rows import with_previous, with_running_sum
-from .timestats import with_median
+from .timestats import gap_rows
 
 #: Largest integer below which every integer has an exact double.
 EXACT = 9_007_199_254_740_992
@@ -17,9 +19,12 @@ OUTLIER = 3.5
 
 def nan_runs(df: DataFrame, value: str, by: list[str] | None = None, order: str = "row_id") -> DataFrame:
     """by, start, end (exclusive) of every maximal run of missing values, in row positions."""
-    by = by or []
+    return _missing(df, value, by or [], order, []).select(*(by or []), "start", "end")
+
+
+def _missing(df: DataFrame, value: str, by: list[str], order: str, extra: list) -> DataFrame:
     marked = with_running_sum(df.withColumn("missing_", is_missing(F.col(value).cast("double"))), (~F.col("missing_")).cast("int"), "island", by, order)
-    return marked.filter("missing_").groupBy(*by, "island").agg(F.min(order).alias("start"), (F.max(order) + 1).alias("end")).select(*by, "start", "end")
+    return marked.filter("missing_").groupBy(*by, "island").agg(F.min(order).alias("start"), (F.max(order) + 1).alias("end"), *extra)
 
 
 def outliers(df: DataFrame, value: str, by: list[str] | None = None, order: str = "row_id", threshold: float = OUTLIER) -> DataFrame:
@@ -28,13 +33,16 @@ def outliers(df: DataFrame, value: str, by: list[str] | None = None, order: str
     The score is 0.6745 |x - median| / MAD. If the MAD is 0, at least half of the values
     equal the median, and every other value is flagged with an infinite score.
     """
-    by = by or []
+    return _outliers(df.select(*(by or []), order, value), value, by or [], order, threshold)
+
+
+def _outliers(df: DataFrame, value: str, by: list[str], order: str, threshold: float, keep: tuple[str, ...] = ()) -> DataFrame:
     v = F.col(value).cast("double")
-    finite = df.filter(~is_missing(v) & (F.abs(v) != float("inf"))).select(*by, order, v.alias("x"))
+    finite = settle(df.filter(~is_missing(v) & (F.abs(v) != float("inf"))).select(*by, order, *keep, v.alias("x")), "finite")
     centred = with_median(finite, by, "x", "m").withColumn("away", F.abs(F.col("x") - F.col("m")))
     scaled = with_median(centred, by, "away", "mad")
     score = F.when(F.col("mad") > 0, 0.6745 * F.col("away") / F.col("mad")).when(F.col("away") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
-    return scaled.withColumn("score", score).filter(F.col("score") > threshold).select(*by, order, F.col("x").alias("value"), "score")
+    return scaled.withColumn("score", score).filter(F.col("score") > threshold).select(*by, order, *keep, F.col("x").alias("value"), "score")
 
 
 def precision_loss(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -65,23 +73,15 @@ def skipped_rows(df: DataFrame, reason: str = "skip_reason", order: str = "sourc
 
 def gutter(df: DataFrame, value: str, by: list[str] | None = None, tick: str = "tick", order: str = "row_id") -> DataFrame:
     """by, kind, first_index, last_index, first_tick, last_tick: missing runs, gaps and outliers as ranges of the axis."""
-    from .timestats import gaps
-
     by = by or []
-    parts = [
-        nan_runs(df, value, by, order).select(*by, F.lit("missing").alias("kind"), F.col("start").alias("first_index"), (F.col("end") - 1).alias("last_index")),
-        gaps(df, by, tick, order).select(*by, F.lit("gap").alias("kind"), F.col("before_index").alias("first_index"), F.col("after_index").alias("last_index")),
-        outliers(df, value, by, order).select(*by, F.lit("outlier").alias("kind"), F.col(order).alias("first_index"), F.col(order).alias("last_index")),
-    ]
-    ranges = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    ticks = df.select(*[F.col(k).alias(f"__{k}") for k in by], F.col(order).alias("__row"), F.col(tick).alias("__tick"))
-    out = ranges
-    for end in ("first", "last"):
-        on = F.col(f"{end}_index") == F.col("__row")
-        for k in by:
-            on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-        out = out.join(ticks, on).withColumnRenamed("__tick", f"{end}_tick").drop("__row", *[f"__{k}" for k in by])
-    return out
+    df = settle(df.select(*by, order, tick, value), "gutter")
+    ends = [F.min_by(tick, order).alias("first_tick"), F.max_by(tick, order).alias("last_tick")]
+    kind = lambda name: F.lit(name).alias("kind")
+    at = lambda c, name: F.col(c).alias(name)
+    missing = _missing(df, value, by, order, ends).select(*by, kind("missing"), at("start", "first_index"), (F.col("end") - 1).alias("last_index"), "first_tick", "last_tick")
+    gaps = gap_rows(df, by, tick, order).select(*by, kind("gap"), at("before_index", "first_index"), at("after_index", "last_index"), at("before_tick", "first_tick"), at("after_tick", "last_tick"))
+    far = _outliers(df, value, by, order, OUTLIER, (tick,)).select(*by, kind("outlier"), at(order, "first_index"), at(order, "last_index"), at(tick, "first_tick"), at(tick, "last_tick"))
+    return missing.unionByName(gaps).unionByName(far)
 
 
 def is_constant(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -61,10 +61,14 @@ def build(df: DataFrame, value: str, by: list[str] | None = None, tick: str = "t
     """
     by = by or []
     if rows is None:
-        rows = (df.agg(F.max(order)).first()[0] or -1) + 1
-    n = -(-rows // FACTOR)
-    level = level_zero(df, value, by, tick, order)
-    out, k = None, 0
+        last = df.agg(F.max(order)).first()[0]
+        rows = 0 if last is None else last + 1
+    return _levels(level_zero(df, value, by, tick, order), by, rows, keep)
+
+
+def _levels(level: DataFrame, by: list[str], rows: int, keep: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """Level 0 and all above it."""
+    n, out, k = -(-rows // FACTOR), None, 0
     while True:
         level = keep(level, k) if keep else level
         own = level.select(*by, F.lit(k).alias("level"), "bucket_id", *BUCKET)
@@ -97,8 +101,13 @@ def of_dataset(df: DataFrame, columns: list[str], tick: str = "tick", order: str
     numeric = [f.name for f in df.schema.fields if f.name in columns and f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal")]
     if not numeric:
         raise ValueError("no numeric column")
-    long = df.select(order, tick, *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot([order, tick], numeric, "series", "value")
-    return build(long, "value", ["series"], tick, order)
+    last = df.agg(F.max(order)).first()[0]
+    bucket = F.floor(F.col(order) / FACTOR).cast("bigint").alias("bucket_id")
+    # level 0 of all columns in one aggregate, then a row a column
+    each = [F.struct(F.lit(c).alias("series"), *raw_aggregates(c, tick, order)).alias(f"__{i}") for i, c in enumerate(numeric)]
+    wide = df.groupBy(bucket).agg(*each)
+    level = wide.select("bucket_id", F.explode(F.array(*[F.col(f"__{i}") for i in range(len(numeric))])).alias("x")).select("x.series", "bucket_id", *[f"x.{c}" for c in BUCKET])
+    return _levels(level, ["series"], 0 if last is None else last + 1)
 
 
 def extend(pyramid: DataFrame, rows: DataFrame, value: str, before: int, by: list[str] | None = None, tick: str = "tick", order: str = "row_id") -> DataFrame:
@@ -108,7 +117,8 @@ def extend(pyramid: DataFrame, rows: DataFrame, value: str, before: int, by: lis
     the old bucket and what the new rows add to the level.
     """
     by = by or []
-    total = (rows.agg(F.max(order)).first()[0] or before - 1) + 1
+    last = rows.agg(F.max(order)).first()[0]
+    total = before if last is None else last + 1
     n, k, out, old, fresh = -(-total // FACTOR), 0, None, None, None
     while True:
         old = pyramid.filter(F.col("level") == k).select(*by, "bucket_id", *BUCKET) if _has_level(before, k) else next_level(old, by)

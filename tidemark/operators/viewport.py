@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timestamps import format_ticks
 from .pyramid import FACTOR, is_missing, merge_aggregates, raw_aggregates
-from .rows import with_running_sum
+from .rows import join_series, with_position, with_running_sum
+from .timestats import with_segments
 
 
 def in_range(df: DataFrame, low, high, tick: str = "tick") -> DataFrame:
@@ -26,21 +28,11 @@ def _placed(df: DataFrame, k: int, by: list[str], order: str, dense: bool) -> Da
     """Adds i (position in the range), n (rows in it) and, for rows to be merged, their column c."""
     if dense:  # positions follow from the row numbers
         grouped = df.groupBy(*by).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("n"))
+        joined = join_series(df, grouped, by).withColumn("i", F.col(order) - F.col("__first"))
     else:
-        numbered = with_running_sum(df, F.lit(1), "__i", by, order)
-        grouped = numbered.groupBy(*by).agg(F.lit(1).alias("__first"), F.count(F.lit(1)).alias("n"))
-        df, order = numbered, "__i"
-    named = grouped.select(*[F.col(b).alias(f"__{b}") for b in by], "__first", "n")
-    if by:
-        on = None
-        for b in by:
-            test = df[b].eqNullSafe(named[f"__{b}"])
-            on = test if on is None else on & test
-        joined = df.join(named, on)
-    else:
-        joined = df.crossJoin(F.broadcast(named))  # one row
-    i = F.col(order) - F.col("__first")
-    c = F.when(F.col("n") <= k, i).otherwise(F.expr(f"((`{order}` - __first + 1) * {k} - 1) div n"))
+        joined = with_position(df, by, order)
+    i = F.col("i")
+    c = F.when(F.col("n") <= k, i).otherwise(F.expr(f"((i + 1) * {k} - 1) div n"))
     return joined.withColumn("column", c.cast("bigint"))
 
 
@@ -57,7 +49,7 @@ def viewport(df: DataFrame, low, high, k: int, value: str = "value", by: list[st
     if k <= 0:
         ranged = ranged.filter("false")
         k = 1
-    placed = _placed(ranged, k, by, order, dense)
+    placed = _placed(ranged.select(*by, order, tick, value), k, by, order, dense)
     alone = F.max(F.col("n") <= k)
     v = F.coalesce(F.first(F.col(value).cast("double")), F.lit(float("nan")))
     columns = raw_aggregates(value, tick, order)
@@ -161,8 +153,6 @@ def time_bins(df: DataFrame, low: int, high: int, k: int, value: str = "value",
 
 def compressed_axis(df: DataFrame, width: int, by: list[str] | None = None, tick: str = "tick", order: str = "row_id") -> DataFrame:
     """Adds x: time since the first row with every gap (see ``timestats.gaps``) shrunk to ``width`` ticks."""
-    from .timestats import with_segments
-
     step = F.when(F.col("is_gap"), F.lit(width)).otherwise(F.coalesce(F.col("dt"), F.lit(0)))
     return with_running_sum(with_segments(df, by, tick, order), step, "x", by, order)
 
@@ -170,7 +160,7 @@ def compressed_axis(df: DataFrame, width: int, by: list[str] | None = None, tick
 def state_columns(df: DataFrame, low, high, k: int, state: str, by: list[str] | None = None, tick: str = "tick", order: str = "row_id") -> DataFrame:
     """by, column, state (null if several), multiple: what a state timeline shows in a column."""
     by = by or []
-    placed = _placed(in_range(df, low, high, tick), k, by, order, False)
+    placed = _placed(in_range(df, low, high, tick).select(*by, order, tick, state), k, by, order, False)
     text = F.col(state).cast("string")
     both = placed.groupBy(*by, "column").agg(F.min(text).alias("a"), F.max(text).alias("b"), F.count(F.lit(1)).alias("n"), F.count(text).alias("m"))
     several = (F.col("m") > 0) & ((F.col("a") != F.col("b")) | (F.col("m") < F.col("n")))
@@ -185,8 +175,6 @@ def point(df: DataFrame, row: int, columns: list[str], order: str = "row_id") ->
 
 def cursor(df: DataFrame, target, columns: list[str], fmt: str, unit: str, tick: str = "tick", order: str = "row_id") -> DataFrame:
     """What a cursor reads: the nearest row's time in the column's own format, with its own offset, and its exact values."""
-    from ..functions.timestamps import format_ticks
-
     offset = F.col("offset_seconds") if "offset_seconds" in df.columns else F.lit(None).cast("int").alias("offset_seconds")
     found = nearest(df.select(order, tick, offset, *columns), target, None, tick, order)
     stamp = F.struct(F.col(tick).cast("decimal(38,0)").alias("ticks"), F.lit(unit).alias("unit"), F.col("offset_seconds"))

@@ -18,6 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pyramid import is_missing
+from .rows import join_series, with_running_sum
+from .timestats import largest_uniform_range, summarize, with_segments
+
 SHORTEST, LONGEST = 256, 65_536
 
 
@@ -90,7 +94,8 @@ def welch(df: DataFrame, rate: float, length: int | None = None, value: str = "v
     """by, bin, freq, power, segment_count. ``order`` counts a series' rows from 0."""
     by = by or []
     if length is None:
-        length = default_segment_length((df.agg(F.max(order)).first()[0] or -1) + 1)
+        last = df.agg(F.max(order)).first()[0]
+        length = default_segment_length(0 if last is None else last + 1)
     spectra = _spectra(df, by, None, value, order, length, rate, window, overlap, detrending)
     means = spectra.groupBy(*by, "bin").agg(F.avg("power").alias("power"), F.count(F.lit(1)).alias("segment_count"))
     return means.select(*by, "bin", (F.col("bin") * F.lit(rate / length)).alias("freq"), "power", "segment_count")
@@ -132,24 +137,19 @@ class Refused(ValueError):
 
 def spectrum_of(df: DataFrame, ticks_per_second: int, value: str = "value", tick: str = "tick", order: str = "row_id", length: int | None = None, **options) -> DataFrame:
     """The spectrum a time axis allows: ``welch`` if uniform, ``welch_segmented`` if uniform between gaps, else ``Refused``."""
-    from . import timestats
-
-    summary = timestats.summarize(df, None, tick, order).first()
+    summary = summarize(df, None, tick, order).first()
     if summary["sampling_class"] == "irregular":
-        raise Refused(timestats.largest_uniform_range(df, None, tick, order))
+        raise Refused(largest_uniform_range(df, None, tick, order))
     rate = ticks_per_second / summary["median_dt"]
     if summary["sampling_class"] == "uniform":
         return welch(df, rate, length, value, None, order, **options)
-    marked = timestats.with_segments(df, None, tick, order)
+    marked = with_segments(df, None, tick, order)
     length = length or default_segment_length(marked.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0])
     return welch_segmented(marked, rate, length, value, "segment", None, order, **options)[0]
 
 
 def clean_runs(df: DataFrame, value: str = "value", by: list[str] | None = None, order: str = "row_id") -> DataFrame:
     """Rows with a value, with ``segment``: stretches between missing values, as gaps split an axis."""
-    from .pyramid import is_missing
-    from .rows import with_running_sum
-
     marked = with_running_sum(df, is_missing(F.col(value).cast("double")).cast("int"), "segment", by, order)
     return marked.filter(~is_missing(F.col(value).cast("double")))
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import os.path
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .functions import text, timestamps
 from .operators import anomaly, pyramid, timestats, viewport, welch
-from .operators.rows import with_previous, with_row_id, with_running_sum
+from .operators.rows import with_position, with_previous, with_row_id
 from .plans import infer, report
+from .sources import cache
+from .sources.scratch import folder, new_place
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,12 +30,6 @@ def query(sql: str | None = None):
     return register
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new place in the folder that driver and executors share; a local one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    return f"{folder.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id (by time, then id), tick in microseconds, user_id, event_type, value."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -44,13 +39,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with i: the row's position in its user's series."""
-    return with_running_sum(events(spark, sf_dir), F.lit(1), "n_", ["user_id"]).withColumn("i", F.col("n_") - 1).drop("n_")
+    return with_position(events(spark, sf_dir), ["user_id"]).drop("n")
 
 
 def axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three made-up axes from the rows' positions: 0 uniform, 1 uniform between gaps, 2 irregular."""
     rows = events(spark, sf_dir).withColumn("series", F.col("user_id") % 3)
-    rows = with_running_sum(rows, F.lit(1), "n_", ["series"]).withColumn("i", F.col("n_") - 1)
+    rows = with_position(rows, ["series"])
     made = F.when(F.col("series") == 0, 1000 * F.col("i")).when(F.col("series") == 1, 1000 * F.col("i") + F.expr("i div 50") * 1_000_000).otherwise(7 * F.col("i") * F.col("i"))
     return rows.select("series", F.col("i").alias("row_id"), made.cast("bigint").alias("tick"))
 
@@ -103,9 +98,11 @@ def viewport_by_user(spark, sf_dir):
 
 @query(_WHOLE)
 def viewport_pyramid(spark, sf_dir):
-    df = events(spark, sf_dir)
-    n = df.count()
-    return viewport.viewport_from_pyramid(df, pyramid.build(df, "value", rows=n), 0, n, COLUMNS)
+    """The first call builds the cached columns and levels; from then on only the level asked for is read, and raw rows at column edges."""
+    key, place = cache.key(spark, f"{sf_dir}/events.parquet", "value"), f"{folder(spark)}/cache"
+    levels = cache.pyramids(spark, place, key, events(spark, sf_dir).select("row_id", "tick", "value"), ["value"])
+    raw = cache.raw_columns(spark, place, key, None, ["value"])
+    return viewport.viewport_from_pyramid(raw, levels, 0, raw.count(), COLUMNS)
 
 
 @query(f"""WITH {_E}, b AS (SELECT min(tick) AS a, max(tick) AS z FROM e)
@@ -381,13 +378,11 @@ def text_round_trip(spark, sf_dir):
     """events written as delimited text with odd quotes and opened again by inference."""
     df = events(spark, sf_dir)
     stamp = F.concat(F.date_format(F.timestamp_micros("tick"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
-    place = scratch(spark, "text") + ".csv"
+    place = new_place(spark, "text") + ".csv"
     lines = df.select("row_id", F.concat_ws(";", stamp, "user_id", F.concat(F.lit('"'), F.col("event_type"), F.lit('"')), F.format_string("%s", "value")).alias("line"))
     header = spark.range(1).select(F.lit(-1).cast("bigint").alias("row_id"), F.lit("time;user;type;value").alias("line"))
     lines.unionByName(header).coalesce(1).sortWithinPartitions("row_id").select("line").write.text(place)
     part = spark.read.text(place).select(F.input_file_name()).first()[0]
-    import os.path
-
     target = f"{place}/whole.csv"
     jvm = spark.sparkContext._jvm
     source, goal = jvm.org.apache.hadoop.fs.Path(f"{place}/{os.path.basename(part)}"), jvm.org.apache.hadoop.fs.Path(target)

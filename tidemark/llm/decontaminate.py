@@ -6,9 +6,9 @@ half, and every passage is a query against the index of that class's items; so w
 item depends on the item and the document only. Scores are BM25 as a share of the item's own
 best score, so one threshold fits items of any length; all items at or above it are
 retrieved. Pruning is exact: a passage's lists stand in order of their largest impacts, and
-those behind the pivot, which together stay below the threshold, are not opened; to the largest
-impacts of the others in a block of items what is behind the pivot is added, and only items of blocks
-whose bound reaches the threshold are scored (many passages at once). A retrieved item is verified in the document's passage
+an item that is only in those behind the pivot, which together stay below the threshold, can't reach it; so only
+blocks of items that the lists before the pivot touch, and in which the largest impacts of
+all lists together reach the threshold, are scored (many passages at once). A retrieved item is verified in the document's passage
 widened on both sides by the item's length: the shares of its question's and of its answer's
 five-word shingles that stand there must both reach ``overlap``. With ``edited``, as op4 and the
 pipeline ask for it, also an item is found of whose whole the share reaches ``overlap``, so its
@@ -82,11 +82,11 @@ def window(n: int) -> int:
 
 
 class Lists:
-    """Postings of the items of one class, in blocks, with the largest impact of each block and list."""
+    """Postings of the items of one class, in blocks, with the largest impact of each block and list. Lists are numbered by their largest impact, largest first."""
 
     def __init__(self, size: int, postings: dict[int, list[tuple[int, float]]], n_items: int):
         self.step, self.n_blocks = size // 2, -(-n_items // BLOCK)
-        terms = sorted(postings)
+        terms = sorted(postings, key=lambda t: (-max(x for _, x in postings[t]), t))
         self.row = {t: i for i, t in enumerate(terms)}
         self.items = [np.array([n for n, _ in postings[t]], np.int64) for t in terms]
         self.impacts = [np.array([x for _, x in postings[t]]) for t in terms]
@@ -106,22 +106,26 @@ class Lists:
         return out
 
     def live(self, passages: np.ndarray, lists: np.ndarray, n: int, threshold: float) -> np.ndarray:
-        """passage x block: whether the block's bound reaches the threshold. (passages, lists): distinct pairs, by passage."""
-        order = np.lexsort((-self.tops[lists], passages))
-        passages, lists = passages[order], lists[order]
+        """passage x block: whether the block's bound reaches the threshold. (passages, lists): distinct pairs, in order."""
         tops = self.tops[lists]
-        through = np.cumsum(tops)
-        last = np.append(passages[1:] != passages[:-1], True)
         whole = np.bincount(passages, weights=tops, minlength=n)
-        before = np.concatenate([[0.0], through[last]])[np.concatenate([[0], np.cumsum(last)[:-1]])]
-        behind = whole[passages] - (through - tops - before)  # of this list and those after it
-        opened = behind >= threshold
-        rest = whole - np.bincount(passages[opened], weights=tops[opened], minlength=n)
-        passages, lists = passages[opened], lists[opened]
-        at = ranges(self.first[lists], self.many[lists])
-        cell = np.repeat(passages * self.n_blocks, self.many[lists]) + self.blocks[at]
-        sums = np.bincount(cell, weights=self.block_tops[at], minlength=n * self.n_blocks).reshape(n, self.n_blocks)
-        return (sums > 0) & (sums + rest[:, None] >= threshold)
+        some = whole[passages] >= threshold  # else no list of the passage is opened
+        passages, lists, tops = passages[some], lists[some], tops[some]
+        if not len(passages):
+            return np.zeros((n, self.n_blocks), bool)
+        through = np.cumsum(tops)
+        start = np.concatenate([[True], passages[1:] != passages[:-1]])
+        before = (through - tops)[start][np.cumsum(start) - 1]
+        opened = whole[passages] - (through - tops - before) >= threshold  # what this list and those behind it can give
+        touched = self._sums(passages[opened], lists[opened], n) > 0
+        return touched & (self._sums(passages, lists, n) >= threshold)
+
+    def _sums(self, passages: np.ndarray, lists: np.ndarray, n: int) -> np.ndarray:
+        """passage x block: the lists' largest impacts in the block together."""
+        many = self.many[lists]
+        at = ranges(self.first[lists], many)
+        cell = np.repeat(passages * self.n_blocks, many) + self.blocks[at]
+        return np.bincount(cell, weights=self.block_tops[at], minlength=n * self.n_blocks).reshape(n, self.n_blocks)
 
     def search(self, lists: np.ndarray, live: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All items of live blocks whose score for the distinct ``lists`` is at least ``threshold``."""

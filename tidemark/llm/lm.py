@@ -51,7 +51,7 @@ from .base import WordHash, held_out, mix, narrow, one_by_one, power_of_two, set
 
 K, ORDER = 5, 2
 #: Tokens and documents a batch, and stored bytes of input a part of the n-grams.
-BATCH_TOKENS, BATCH_DOCS, PART_BYTES = 1_800_000, 1 << 16, 8 << 20
+BATCH_TOKENS, BATCH_DOCS, PART_BYTES = 1_400_000, 1 << 16, 4 << 20
 #: No word holds a newline, so these can't be words.
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b"\n</s>", b"\n<s>"))
 _END = np.array([END], np.uint64)

@@ -5,6 +5,7 @@ import pytest
 from pathlib import Path
 
 import __spark_entry__
+from tidemark import file_queries  # noqa: F401
 from tidemark import queries as series
 
 SF = Path("/root/testdata") / "sf0.001"

@@ -135,7 +135,7 @@ def test_routing():
 def test_parquet_cache_and_fixture(spark, tmp_path):
     df = spark.range(200).select((F.col("id") * 1000 + F.when(F.col("id") > 100, 10**6).otherwise(0)).alias("t"), F.when(F.col("id") % 7 != 0, F.col("id") * 1.5).alias("v"))
     place = str(tmp_path / "x.parquet")
-    df.repartition(3).select(F.timestamp_micros("t").alias("time"), "v").write.parquet(place)
+    df.repartitionByRange(3, "t").sortWithinPartitions("t").select(F.timestamp_micros("t").alias("time"), "v").write.parquet(place)
     opened = report.open_path(spark, place)
     assert (opened.summary.row_count, opened.summary.gap_count, opened.summary.timestamp_format) == (200, 1, "parquet_timestamp")
     rows = parquet.read_series(spark, place)
@@ -158,9 +158,12 @@ def test_streaming_pyramid_equals_batch(spark, tmp_path):
         whole.filter(F.col("row_id").between(low, high - 1)).coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(whole.schema).parquet(str(source))
         progressive.stream_pyramid(stream, state, str(tmp_path / "checkpoint")).awaitTermination()
-    assert state.rows == 5000
+        state = progressive.PyramidState(spark, str(tmp_path / "state"))  # as after a restart
+    assert (state.rows, state.version) == (5000, 2)
     assert sorted(map(tuple, state.table().collect())) == sorted(map(tuple, pyramid.build(whole, "value").collect()))
     assert list(progressive.checkpoints(100_000)) == [20_000, 40_000, 80_000, 100_000]
     shown = []
     progressive.load_progressive(whole, 5000, lambda df, n: shown.append((n, df.count())), first=2000)
     assert shown == [(2000, 2000), (4000, 4000), (5000, 5000)]
+    with pytest.raises(ValueError, match="mine"):
+        progressive.load_progressive(whole, 5000, lambda df, n: int("mine"))

@@ -29,6 +29,8 @@ _DATED = {
     "dd_mm_yyyy": r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{2}):(\d{2})()()$",
     "mm_dd_yyyy": r"^(\d{1,2})/(\d{1,2})/(\d{4}) (\d{1,2}):(\d{2}):(\d{2})()()$",
 }
+#: Formats that name a calendar date.
+DATED = tuple(_DATED)
 _NUMBER = r"^([+-]?)(\d+)(?:\.(\d*))?$"
 _BIG = "decimal(38,0)"
 

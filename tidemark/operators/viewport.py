@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timestamps import format_ticks
+from ..functions.timestamps import DATED, format_ticks, in_unit
 from .pyramid import FACTOR, is_missing, merge_aggregates, raw_aggregates
 from .rows import join_series, with_position, with_running_sum
 from .timestats import with_segments
@@ -178,4 +178,6 @@ def cursor(df: DataFrame, target, columns: list[str], fmt: str, unit: str, tick:
     offset = F.col("offset_seconds") if "offset_seconds" in df.columns else F.lit(None).cast("int").alias("offset_seconds")
     found = nearest(df.select(order, tick, offset, *columns), target, None, tick, order)
     stamp = F.struct(F.col(tick).cast("decimal(38,0)").alias("ticks"), F.lit(unit).alias("unit"), F.col("offset_seconds"))
+    if fmt in DATED and unit != "ps":  # dates are written from nanoseconds
+        stamp = F.struct(in_unit(stamp, "ns").alias("ticks"), F.lit("ns").alias("unit"), F.col("offset_seconds"))
     return found.withColumn("__stamp", stamp).select(order, format_ticks(F.col("__stamp"), fmt).alias("time"), *[F.col(c).cast("string").alias(c) for c in columns])

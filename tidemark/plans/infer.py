@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import BudgetExceeded, EmptyFile, OpenError, SingleColumnFile  # noqa: F401
 from ..functions import text as cells
 from ..functions import timestamps
 
@@ -19,10 +20,7 @@ HEAD_BYTES = 1 << 20
 #: Delimiters in the order in which they are tried; whitespace means runs of blanks.
 DELIMITERS = (",", ";", "\t", "|", "whitespace")
 HIGH, LOW = "high", "low"
-
-
-class OpenError(ValueError):
-    """A file that can't be opened; the message says why."""
+csv.field_size_limit(2 * HEAD_BYTES)  # a cell may fill the head
 
 
 @dataclass
@@ -37,6 +35,8 @@ class Sniff:
     header_confidence: str
     data_start_row: int
     bom: int = 0
+    row_bytes: float = 1.0
+    before: list = field(default_factory=list)  # records before the data
 
 
 @dataclass
@@ -119,23 +119,22 @@ def _is_number(cell: str) -> bool:
 
 
 def infer_header(records: list[list[str]]) -> tuple[list[str], str, int]:
-    """(names, confidence, first data record). Rows before the first with a data-like cell are preamble; its last row of the data's width is the header."""
-    for start, record in enumerate(records):
-        if any(_is_number(c) or re.match(r"\d{4}-", c.strip()) for c in record):
-            break
-    else:
-        start = 1 if records else 0
-    width = len(records[start]) if start < len(records) else len(records[0]) if records else 0
+    """(names, confidence, first data record). Records before the first with a data-like cell are preamble; its last one of the data's width is the header.
+
+    The confidence is low only if there is a preamble and none of it has the data's width. Without a data record there are no names.
+    """
+    start = next((i for i, r in enumerate(records) if any(_is_number(c) or re.match(r"\d{4}-", c.strip()) for c in r)), len(records))
+    width = len(records[start]) if start < len(records) else 0
     before = [i for i in range(start) if len(records[i]) == width]
     names = [c.strip() for c in records[before[-1]]] if before else [f"column_{i}" for i in range(width)]
-    return names, HIGH if start <= 1 and bool(before) == bool(start) else LOW, start
+    return names, LOW if start and not before else HIGH, start
 
 
 def sniff(head: bytes, whole: bool, overrides: Overrides | None = None) -> Sniff:
     """Encoding, delimiter, decimal mark and header from the head of a file."""
     overrides = overrides or Overrides()
     if not head.strip(b"\x00\r\n \t\xff\xfe\xef\xbb\xbf"):
-        raise OpenError("empty file: no data to read")
+        raise EmptyFile
     encoding, encoding_confidence, bom = detect_encoding(head)
     body = head[bom:]
     text = (aligned(body, whole) if not encoding.startswith("utf-16") else body).decode(encoding.replace("windows-", "cp"), errors="replace")
@@ -144,8 +143,8 @@ def sniff(head: bytes, whole: bool, overrides: Overrides | None = None) -> Sniff
     decimal, decimal_confidence = (overrides.decimal_separator, HIGH) if overrides.decimal_separator else infer_decimal(records)
     header, header_confidence, start = infer_header(records)
     if len(header) < 2:
-        raise OpenError("single-column file: only the time index is present, no data series to plot")
-    return Sniff(encoding, encoding_confidence, delimiter, delimiter_confidence, decimal, decimal_confidence, header, header_confidence, start, bom)
+        raise SingleColumnFile
+    return Sniff(encoding, encoding_confidence, delimiter, delimiter_confidence, decimal, decimal_confidence, header, header_confidence, start, bom, len(body) / max(1, len(records)), records[:start])
 
 
 def scan_dtypes(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -216,3 +215,11 @@ def budget(total_memory: int) -> int:
 
 def affords(total_memory: int, needed: int) -> bool:
     return needed <= budget(total_memory)
+
+
+def check_budget(total_memory: int, file_bytes: int, found: Sniff) -> None:
+    """Refuses a file that would need more than the budget, before it is read."""
+    needed = footprint(file_bytes, found.row_bytes, len(found.header))
+    if not affords(total_memory, needed):
+        raise BudgetExceeded(needed, budget(total_memory))
+

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import text as cells
 from ..functions import timestamps
 from ..operators import timestats
-from ..operators.rows import with_running_sum
-from ..sources import registry, text
+from ..errors import InvalidTimestamp
+from ..operators.rows import with_position
+from ..sources import parquet, registry, text
+from ..sources.scratch import settle
+from ..streaming import progressive
 from . import infer
 
 log = logging.getLogger("tidemark")
@@ -61,31 +65,53 @@ class Opened:
     axis: str  # absolute, progressive or ordinal
 
 
-def open_text(spark: SparkSession, path: str, overrides: infer.Overrides | None = None) -> Opened:
+def open_text(spark: SparkSession, path: str, overrides: infer.Overrides | None = None, memory: int | None = None) -> Opened:
+    """``memory``: bytes of the machine that will hold the values; a file beyond its budget is refused before it is read."""
     overrides = overrides or infer.Overrides()
+    if memory is not None:
+        infer.check_budget(memory, text.head_of(spark, path, 0)[1], text.sniff(spark, path, overrides))
+    found, raw, columns = _raw(spark, path, overrides)
+    return _typed(found, raw, columns, overrides)
+
+
+def _raw(spark: SparkSession, path: str, overrides: infer.Overrides) -> tuple[text.Scan, DataFrame, list[str]]:
+    """All rows as text, numbered and stored: the second pass reads this, not the file."""
     found = text.scan(spark, path, overrides)
-    raw = with_running_sum(found.rows, F.lit(1), "kept_", order="source_row").withColumn("row_id", F.col("kept_") - 1).drop("kept_")
+    raw = with_position(found.rows, order="source_row", name="row_id", rows="rows_").drop("rows_")
     columns = [c for c in raw.columns if c not in ("source_row", "row_id")]
     if overrides.empty_as_nan:
         raw = raw.withColumns({c: F.when(F.trim(c) == "", F.lit("NaN")).otherwise(F.col(c)) for c in columns[1:]})
-    raw = raw.persist()
-    try:
-        return _typed(found, raw, columns, overrides)
-    finally:
-        raw.unpersist()
+    return found, settle(raw, "raw"), columns
+
+
+def open_progressive(spark: SparkSession, path: str, show: Callable[[Opened, int], None], overrides: infer.Overrides | None = None, first: int = progressive.FIRST_ROWS) -> Opened:
+    """Opens a text file prefix by prefix, each twice as long as the one before: ``show(opened, rows)`` gets the prefix's rows, types, summary and report.
+
+    A prefix that can't be opened alone is left out; what ``show`` raises is not caught. Returns the whole file's.
+    """
+    overrides = overrides or infer.Overrides()
+    found, raw, columns = _raw(spark, path, overrides)
+    whole: list[Opened] = []
+
+    def shown(opened: Opened, rows: int) -> None:
+        whole[:] = [opened]
+        show(opened, rows)
+
+    progressive.load_progressive(raw, raw.count(), shown, first, prepare=lambda prefix: _typed(found, prefix, columns, overrides))
+    return whole[0] if whole else _typed(found, raw, columns, overrides)
 
 
 def _typed(found: text.Scan, raw: DataFrame, columns: list[str], overrides: infer.Overrides) -> Opened:
     time, data = columns[0], columns[1:]
     dtypes = {r["series"]: r for r in infer.scan_dtypes(raw, data).collect()}  # one row a column
     fmt, ambiguous = (overrides.timestamp_format, False) if overrides.timestamp_format else infer.infer_timestamp_format(raw, time)
-    axis, unit, time_confidence = "absolute", "ns", infer.LOW if ambiguous else infer.HIGH
+    axis, unit, format_confidence = "absolute", "ns", infer.LOW if ambiguous else infer.HIGH
     if fmt:
         parsed = timestamps.parse(F.coalesce(F.col(time), F.lit("")), fmt)
         with_time = raw.withColumn("parsed", parsed)
         checks = with_time.agg(F.count_if(F.col("parsed").isNull()).alias("bad"), *[F.coalesce(F.bool_or(F.col("parsed.unit") == u), F.lit(False)).alias(u) for u in timestamps.DIGITS]).first()
         if checks["bad"]:
-            raise infer.OpenError(f"invalid timestamp: {checks['bad']} cells are not {fmt}")
+            raise InvalidTimestamp(checks["bad"], fmt)
         unit = next((u for u in ("ps", "ns", "us", "ms", "s") if checks[u]), "ns")
         tick, offset = timestamps.in_unit(F.col("parsed"), unit), F.col("parsed.offset_seconds")
         if unit != "ps":
@@ -96,7 +122,7 @@ def _typed(found: text.Scan, raw: DataFrame, columns: list[str], overrides: infe
         if numbers:
             axis, tick = "progressive", timestamps.progressive_ticks(cells.parse_f64(F.col(time)))
         else:
-            axis, tick, time_confidence = "ordinal", F.col("row_id"), infer.LOW
+            axis, tick, format_confidence = "ordinal", F.col("row_id"), infer.LOW
     typed = with_time.select("row_id", tick.alias("tick"), offset.alias("offset_seconds"), *[infer.cast_column(c, dtypes[c]["dtype"]) for c in data])
     if axis == "absolute":
         stats = timestats.summarize(typed).first()
@@ -106,7 +132,7 @@ def _typed(found: text.Scan, raw: DataFrame, columns: list[str], overrides: infe
     s = found.sniff
     labels = {c: s.header[int(c[1:])] for c in columns}
     summary = Summary(s.encoding, "WS" if s.delimiter == "whitespace" else s.delimiter, s.decimal_separator, labels[time], fmt or "none", raw.count(), found.skipped.count(), *facts, [labels[c] for c in data], [dtypes[c]["dtype"] for c in data])
-    report = Report(s.encoding_confidence, s.delimiter_confidence, s.decimal_confidence, s.header_confidence, time_confidence if axis != "ordinal" else infer.LOW, time_confidence, {c: infer.LOW if dtypes[c]["ambiguous"] else infer.HIGH for c in data})
+    report = Report(s.encoding_confidence, s.delimiter_confidence, s.decimal_confidence, s.header_confidence, infer.LOW if axis == "ordinal" else s.header_confidence, format_confidence, {c: infer.LOW if dtypes[c]["ambiguous"] else infer.HIGH for c in data})
     for name, confidence in asdict(report).items():
         if confidence == infer.LOW:
             log.warning("low confidence: %s", name)
@@ -116,16 +142,19 @@ def _typed(found: text.Scan, raw: DataFrame, columns: list[str], overrides: infe
 
 
 def inspect(spark: SparkSession, path: str, overrides: infer.Overrides | None = None) -> Summary:
-    """The summary alone, for text files and Parquet."""
+    """The summary alone, of any registered format."""
     return open_path(spark, path, overrides).summary
 
 
-def open_path(spark: SparkSession, path: str, overrides: infer.Overrides | None = None) -> Opened:
+def open_path(spark: SparkSession, path: str, overrides: infer.Overrides | None = None, memory: int | None = None) -> Opened:
     """Any registered format. ``overrides`` settle an inference at high confidence; opening again with others is the correction."""
-    if registry.route(path) == "csv":
-        return open_text(spark, path, overrides)
-    from ..sources import parquet
+    reader = registry.reader_of(path, spark)
+    if reader.open:
+        return reader.open(spark, path, overrides)
+    return open_text(spark, path, overrides, memory) if reader.name == "csv" else open_parquet(spark, path)
+
 
+def open_parquet(spark: SparkSession, path: str) -> Opened:
     rows = parquet.read_series(spark, path)
     stats = timestats.summarize(rows).first()
     data = [c for c in rows.columns if c not in ("row_id", "tick")]
@@ -143,5 +172,11 @@ def corrections(opened: Opened) -> dict[str, list[str]]:
     if opened.report.decimal_separator == infer.LOW:
         out["decimal_separator"] = [".", ","]
     if opened.report.timestamp_format == infer.LOW:
-        out["timestamp_format"] = [*timestamps.FORMATS, *timestamps.SLASHED]
+        swapped = swap_day_and_month(opened.summary.timestamp_format)
+        out["timestamp_format"] = [swapped] if swapped else [*timestamps.FORMATS, *timestamps.SLASHED]
     return out
+
+
+def swap_day_and_month(fmt: str) -> str | None:
+    """The other reading of a slashed date; None for other formats."""
+    return {"dd_mm_yyyy": "mm_dd_yyyy", "mm_dd_yyyy": "dd_mm_yyyy"}.get(fmt)

@@ -293,13 +293,18 @@ def precision_flag(spark, sf_dir):
     return anomaly.precision_loss(df, ["l_orderkey", "big"])
 
 
-@query("""SELECT 'l_quantity' AS series, min(l_quantity) = max(l_quantity) AS constant FROM lineitem UNION ALL SELECT 'one', TRUE UNION ALL SELECT 'zero', FALSE""")
+@query("""SELECT 'l_quantity' AS series, min(l_quantity) = max(l_quantity) AS constant FROM lineitem UNION ALL SELECT 'one', count(DISTINCT 1 + 0 * l_linenumber) = 1 FROM lineitem
+UNION ALL SELECT 'zero', count(DISTINCT CASE WHEN l_linenumber = 1 THEN '-0' ELSE '0' END) = 1 FROM lineitem""")
 def is_constant(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", F.lit(1).alias("one"), F.when(F.col("l_linenumber") == 1, -(F.col("l_quantity") * 0.0)).otherwise(F.col("l_quantity") * 0.0).alias("zero"))
     return anomaly.is_constant(df, ["l_quantity", "one", "zero"])
 
 
-@query("""SELECT * FROM (VALUES ('o_orderkey', 'i64', FALSE), ('o_totalprice', 'f64', FALSE), ('o_orderstatus', 'string', FALSE), ('flag', 'bool', TRUE)) AS t(series, dtype, ambiguous), (SELECT count(*) AS n FROM orders)""")
+_TEXT = "x AS (SELECT unnest(['o_orderkey', 'o_totalprice', 'o_orderstatus', 'flag']) AS series, unnest([o_orderkey::VARCHAR, o_totalprice::VARCHAR, o_orderstatus, (o_orderkey % 2)::VARCHAR]) AS cell FROM orders)"
+_DTYPE = "CASE WHEN bool_and(lower(cell) IN ('true', 'false', '0', '1')) THEN 'bool' WHEN bool_and(regexp_full_match(cell, '[+-]?[0-9]+') AND try_cast(cell AS BIGINT) IS NOT NULL) THEN 'i64' WHEN bool_and(try_cast(cell AS DOUBLE) IS NOT NULL) THEN 'f64' ELSE 'string' END"
+
+
+@query(f"WITH {_TEXT} SELECT series, {_DTYPE} AS dtype, bool_and(cell IN ('0', '1')) AS ambiguous, count(*) AS n FROM x GROUP BY series")
 def dtype_scan(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/orders.parquet")
     as_text = df.select(*[F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_totalprice", "o_orderstatus")], (F.col("o_orderkey") % 2).cast("string").alias("flag"))
@@ -366,7 +371,8 @@ def parse_datetime_space(spark, sf_dir):
     return _stamp(spark, sf_dir, F.date_format(F.timestamp_micros("tick"), "yyyy-MM-dd HH:mm:ss.SSS"), "datetime_space")
 
 
-@query(f"""WITH {_E} SELECT 'iso8601' AS series, 'iso8601' AS format, FALSE AS ambiguous UNION ALL SELECT 'micros', 'epoch_us', FALSE UNION ALL SELECT 'type', NULL, FALSE""")
+@query(f"""WITH {_E}, x AS (SELECT unnest(['iso8601', 'micros', 'type']) AS series, unnest([strftime(make_timestamp(tick), '%Y-%m-%dT%H:%M:%S.%fZ'), tick::VARCHAR, event_type]) AS cell FROM e)
+SELECT series, CASE WHEN bool_and(regexp_full_match(cell, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9:.]+Z')) THEN 'iso8601' WHEN bool_and(try_cast(cell AS BIGINT) BETWEEN 1000000000000000 AND 9999999999999999) THEN 'epoch_us' END AS format, FALSE AS ambiguous FROM x GROUP BY series""")
 def infer_timestamps(spark, sf_dir):
     df = events(spark, sf_dir).select(F.concat(F.date_format(F.timestamp_micros("tick"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("iso8601"), F.col("tick").cast("string").alias("micros"), F.col("event_type").alias("type"))
     found = [(c, *infer.infer_timestamp_format(df, c)) for c in df.columns]
@@ -378,17 +384,22 @@ def text_round_trip(spark, sf_dir):
     """events written as delimited text with odd quotes and opened again by inference."""
     df = events(spark, sf_dir)
     stamp = F.concat(F.date_format(F.timestamp_micros("tick"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
-    place = new_place(spark, "text") + ".csv"
     lines = df.select("row_id", F.concat_ws(";", stamp, "user_id", F.concat(F.lit('"'), F.col("event_type"), F.lit('"')), F.format_string("%s", "value")).alias("line"))
-    header = spark.range(1).select(F.lit(-1).cast("bigint").alias("row_id"), F.lit("time;user;type;value").alias("line"))
-    lines.unionByName(header).coalesce(1).sortWithinPartitions("row_id").select("line").write.text(place)
+    opened = report.open_text(spark, write_text(spark, "time;user;type;value", lines))
+    return opened.rows.select("row_id", "tick", "c1", "c2", "c3")
+
+
+def write_text(spark: SparkSession, header: str, lines: DataFrame) -> str:
+    """One text file of a header and ``lines`` (row_id, line) in order; its path."""
+    place = new_place(spark, "text") + ".csv"
+    first = spark.range(1).select(F.lit(-1).cast("bigint").alias("row_id"), F.lit(header).alias("line"))
+    lines.unionByName(first).coalesce(1).sortWithinPartitions("row_id").select("line").write.text(place)
     part = spark.read.text(place).select(F.input_file_name()).first()[0]
     target = f"{place}/whole.csv"
     jvm = spark.sparkContext._jvm
     source, goal = jvm.org.apache.hadoop.fs.Path(f"{place}/{os.path.basename(part)}"), jvm.org.apache.hadoop.fs.Path(target)
     source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(source, goal)
-    opened = report.open_text(spark, target)
-    return opened.rows.select("row_id", "tick", "c1", "c2", "c3")
+    return target
 
 
 @query(f"WITH {_E} SELECT user_id, max_by(event_type, row_id) AS last_type, sum(i)::BIGINT AS points FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY row_id) AS i FROM e) GROUP BY user_id")
@@ -397,15 +408,27 @@ def row_positions(spark, sf_dir):
     return df.groupBy("user_id").agg(F.max_by("event_type", "row_id").alias("last_type"), F.sum(F.col("i") + 1).alias("points"))
 
 
-@query()
+#: A discrete Fourier transform by sums of cosines; segments of L samples of runs, by Hann windows, averaged by run and over runs by their lengths.
+_DFT = """w AS (SELECT run, n, L, unnest(range(0, (n - L) // (L // 2) + 1)) AS s FROM runs WHERE n >= L),
+g AS (SELECT w.run, w.n, w.L, w.s, x.i - w.s * (w.L // 2) AS j, x.value FROM w JOIN x ON x.run = w.run AND x.i >= w.s * (w.L // 2) AND x.i < w.s * (w.L // 2) + w.L),
+av AS (SELECT run, s, avg(value) AS mu FROM g GROUP BY run, s),
+y AS (SELECT run, n, L, s, j, (value - mu) * (0.5 - 0.5 * cos(2 * pi() * j / L)) AS v FROM g JOIN av USING (run, s)),
+k AS (SELECT unnest(range(0, (SELECT max(L) FROM runs) // 2 + 1)) AS bin),
+t AS (SELECT run, n, L, s, bin, sum(v * cos(2 * pi() * ((bin * j) % L) / L)) AS re, sum(v * sin(2 * pi() * ((bin * j) % L) / L)) AS im FROM y, k GROUP BY ALL),
+p AS (SELECT run, n, L, bin, avg((re * re + im * im) / (1000.0::DOUBLE * L * 0.375) * CASE WHEN bin = 0 OR 2 * bin = L THEN 1 ELSE 2 END) AS power, count(*) AS many FROM t GROUP BY run, n, L, bin)
+SELECT bin, bin * (1000.0::DOUBLE / any_value(L)) AS freq, round(sum(power * n) / sum(n), 6) AS power, sum(many)::BIGINT AS segment_count FROM p GROUP BY bin"""
+
+
+@query(f"""WITH {_E}, x AS (SELECT 0 AS run, row_id AS i, value FROM e), runs AS (SELECT 0 AS run, count(*) AS n, least(65536, greatest(256, (2 ** floor(log2(count(*) // 8)))::BIGINT)) AS L FROM e), {_DFT}""")
 def welch_psd(spark, sf_dir):
-    return welch.welch(events(spark, sf_dir).select("row_id", "value"), 1000.0)
+    return welch.welch(events(spark, sf_dir).select("row_id", "value"), 1000.0).withColumn("power", F.round("power", 6))
 
 
-@query()
+@query(f"""WITH {_M}, h AS (SELECT *, sum(isnan(value)::INT) OVER (ORDER BY row_id ROWS UNBOUNDED PRECEDING) AS run FROM m),
+x AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY row_id) - 1 AS i, value FROM h WHERE NOT isnan(value)), runs AS (SELECT run, count(*) AS n, 16::BIGINT AS L FROM x GROUP BY run), {_DFT}""")
 def welch_segmented(spark, sf_dir):
     runs = anomaly_free_runs(spark, sf_dir)
-    return welch.welch_segmented(runs, 1000.0, 16)[0]
+    return welch.welch_segmented(runs, 1000.0, 16)[0].withColumn("power", F.round("power", 6))
 
 
 def anomaly_free_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,39 @@
-"""Which reader takes a path."""
+"""Which reader takes a path, and how it opens it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from ..plans.infer import OpenError
-from . import text
+from pyspark.sql import SparkSession
 
-_READERS: list[tuple[str, Callable[[str], bool]]] = [("csv", text.recognises), ("parquet", lambda p: p.rstrip("/").lower().endswith(".parquet"))]
+from ..errors import UnrecognizedFormat
+from . import parquet, text
 
 
-def register(name: str, recognises: Callable[[str], bool]) -> None:
-    """Adds a reader, asked after those before it."""
-    _READERS.append((name, recognises))
+@dataclass
+class Reader:
+    """``open(spark, path, overrides)`` gives an ``Opened``; None for the two formats that ``plans.report`` opens itself."""
 
+    name: str
+    recognises: Callable[[str, SparkSession | None], bool]
+    open: Callable | None = None
 
-def route(path: str) -> str:
-    for name, recognises in _READERS:
-        if recognises(path):
-            return name
-    raise OpenError(f"unrecognized format: no reader takes {path}")
+
+_READERS: list[Reader] = [Reader("csv", lambda path, spark: text.recognises(path)), Reader("parquet", parquet.recognises)]
+
+
+def register(name: str, recognises: Callable[[str, SparkSession | None], bool], open: Callable) -> None:
+    """Adds a reader, asked after those before it; one of the same name takes its place."""
+    _READERS[:] = [r for r in _READERS if r.name != name] + [Reader(name, recognises, open)]
+
+
+def reader_of(path: str, spark: SparkSession | None = None) -> Reader:
+    for reader in _READERS:
+        if reader.recognises(path, spark):
+            return reader
+    raise UnrecognizedFormat(path)
+
+
+def route(path: str, spark: SparkSession | None = None) -> str:
+    return reader_of(path, spark).name

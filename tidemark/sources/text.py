@@ -1,9 +1,10 @@
 """Messy delimited text as DataFrames: any supported encoding, quotes, line ends in quotes, ragged rows.
 
-Lines are read in splits (UTF-8) and carry their place (file block and number in it), so
-order needs no sort. Quotes are counted line by line; where a line leaves a quote open,
-lines are joined to records by the parity of a running quote count, which is summed chunk
-by chunk. Only other encodings are decoded in one task a file, as they can't be split.
+Lines are read in splits and carry their place: a split's first line number is the sum of
+the lines of the splits before it, so order needs no sort and lines aren't shuffled. windows-1252 is read as single bytes and
+mapped, so it is read in splits as UTF-8 is; only UTF-16 is decoded in one task a file (and
+up to 2 GiB). Quotes are counted line by line; where a line leaves a quote open, lines are joined
+to records by the parity of a running quote count, which is summed chunk by chunk. Records are split once and stored, then numbered.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import SingleColumnFile, Unreadable
 from ..functions.text import normalize_decimal
-from ..operators.rows import with_running_sum
+from ..operators.rows import with_position, with_running_sum
 from ..plans import infer
+from .scratch import settle
 
 #: Extensions that are read as delimited text.
 EXTENSIONS = ("csv", "tsv", "txt")
@@ -33,9 +37,11 @@ def head_of(spark: SparkSession, path: str, most: int = infer.HEAD_BYTES) -> tup
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        raise Unreadable(f"could not read {path}: no such file")
     status = system.getFileStatus(place)
     if status.isDirectory():
-        raise infer.OpenError("a directory is no delimited file")
+        raise Unreadable(f"could not read {path}: a directory is no delimited file")
     size = status.getLen()
     stream = system.open(place)
     try:
@@ -49,22 +55,30 @@ def sniff(spark: SparkSession, path: str, overrides: infer.Overrides | None = No
     return infer.sniff(head, len(head) == size, overrides)
 
 
+#: What the bytes 0x80 to 0x9F are in windows-1252 (U+FFFD: nothing).
+_HIGH = "".join(bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0))
+_LOW = "".join(map(chr, range(0x80, 0xA0)))
+
+
 def _lines(spark: SparkSession, path: str, found: infer.Sniff) -> DataFrame:
     """line_id (increasing in file order) and line."""
-    if found.encoding == "utf-8":
+    if found.encoding in ("utf-8", "windows-1252"):
         # ids rise within a split, and splits of one file are ordered by their start
         df = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
-        first = F.col("__id") - F.min("__id").over(Window.partitionBy("__block"))
-        counts = df.groupBy("__block").agg(F.count(F.lit(1)).alias("n"))
-        before = counts.select("__block", F.coalesce(F.sum("n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-        # splits without a line end of their own have no rows; there are as many blocks here as splits
-        numbered = df.withColumn("__at", first).join(before, "__block").select((F.col("before") + F.col("__at")).alias("line_id"), "line")
+        blocks = df.groupBy("__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("n"))
+        line = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        # one row a split
+        blocks = settle(blocks.select("__block", (F.coalesce(F.sum("n").over(line), F.lit(0)) - F.col("__first")).alias("__shift")), "blocks")
+        numbered = df.join(blocks, "__block").select((F.col("__id") + F.col("__shift")).alias("line_id"), "line")
+        if found.encoding == "windows-1252":
+            # the reader keeps a line's bytes as they are
+            numbered = numbered.withColumn("line", F.translate(F.decode(F.col("line").cast("binary"), "ISO-8859-1"), _LOW, _HIGH))
         if found.bom:
-            numbered = numbered.withColumn("line", F.when(F.col("line_id") == 0, F.regexp_replace("line", "^﻿", "")).otherwise(F.col("line")))
+            numbered = numbered.withColumn("line", F.when(F.col("line_id") == 0, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")))
         return numbered
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = found.encoding.replace("windows-", "cp")
+        codec = found.encoding
         for batch in batches:
             for content in batch.column(0):
                 data, at = content.as_py()[found.bom :], 0
@@ -96,14 +110,14 @@ def _records(lines: DataFrame, delimiter: str) -> DataFrame:
 
 
 def split_fields(record: str, delimiter: str):
-    """Fields of a record as a column: quoted ones without their quotes, doubled quotes as one."""
+    """Fields of a record as a column: quoted ones without their quotes, doubled quotes as one. The patterns are possessive, so a cell of any length is matched without recursion."""
     text = F.col(record)
     if delimiter == "whitespace":
         return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
     d = "\\" + delimiter if delimiter in "|.^$*+?()[]{}\\" else delimiter
     plain = F.split(text, d, -1)
-    found = F.regexp_extract_all(text, F.lit(rf'(?:^|{d})("(?:[^"]|"")*"?[^{d}]*|[^{d}]*)'), F.lit(1))
-    unquoted = F.transform(found, lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, r'^"((?:[^"]|"")*)"?', "$1"), F.lit('""'), F.lit('"'))).otherwise(x))
+    found = F.regexp_extract_all(text, F.lit(rf'(?:^|{d})("(?:[^"]++|"")*+"?[^{d}]*+|[^{d}]*+)'), F.lit(1))
+    unquoted = F.transform(found, lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, r'^"((?:[^"]++|"")*+)"?', "$1"), F.lit('""'), F.lit('"'))).otherwise(x))
     return F.when(F.contains(text, F.lit('"')), unquoted).otherwise(plain)
 
 
@@ -123,20 +137,40 @@ def scan(spark: SparkSession, path: str, overrides: infer.Overrides | None = Non
     each field's metadata as ``label``.
     """
     found = sniff(spark, path, overrides)
+    parsed, width = _parsed(spark, path, found), len(found.header)
+    numbered = _numbered(parsed, found.data_start_row)
+    marked = numbered.withColumn("skip_reason", F.when(F.size("f") != width, F.lit("ragged")))
+    cells = [normalize_decimal(F.col("f")[i], found.decimal_separator if i else ".").alias(f"c{i}", metadata={"label": found.header[i]}) for i in range(width)]
+    return Scan(marked.filter("skip_reason is null").select("source_row", *cells), marked.filter("skip_reason is not null").select("source_row", "skip_reason"), found)
+
+
+def _parsed(spark: SparkSession, path: str, found: infer.Sniff) -> DataFrame:
+    """record_id and f (fields) of every record that isn't blank, stored."""
     if found.delimiter == "":
-        raise infer.OpenError("single-column file: only the time index is present, no data series to plot")
-    width = len(found.header)
+        raise SingleColumnFile
+    try:
+        records = _records(_lines(spark, path, found), found.delimiter)
+        blank = F.trim(F.regexp_replace("record", r"[\r\n]", "")) == ""
+        return settle(records.filter(~blank).select("record_id", split_fields("record", found.delimiter).alias("f")), "records")
+    except PySparkException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise Unreadable(f"could not read {path}: no such file") from e
+        raise
+
+
+def counts(spark: SparkSession, path: str, overrides: infer.Overrides | None = None) -> tuple[int, int]:
+    """(rows, skipped rows): a parse that keeps no values and numbers nothing."""
+    found = sniff(spark, path, overrides)
     records = _records(_lines(spark, path, found), found.delimiter)
     blank = F.trim(F.regexp_replace("record", r"[\r\n]", "")) == ""
-    fields = records.filter(~blank).select("record_id", split_fields("record", found.delimiter).alias("f"), F.col("record"))
-    skip = F.when(F.size("f") != width, F.lit("ragged"))
-    numbered = _numbered(fields, found.data_start_row)
-    marked = numbered.withColumn("skip_reason", skip)
-    cells = [normalize_decimal(F.col("f")[i], found.decimal_separator if i else ".").alias(f"c{i}", metadata={"label": found.header[i]}) for i in range(width)]
-    return Scan(marked.filter("skip_reason is null").select("source_row", *cells), marked.filter("skip_reason is not null").select("source_row", "skip_reason"), found)
+    fits = F.size(split_fields("record", found.delimiter)) == len(found.header)
+    fitting, every = records.filter(~blank).agg(F.count_if(fits), F.count(F.lit(1))).first()
+    # records before the data are known from the head
+    before = [len(r) == len(found.header) for r in found.before]
+    return fitting - sum(before), every - len(before) - (fitting - sum(before))
 
 
 def _numbered(fields: DataFrame, start: int) -> DataFrame:
     """source_row: the place among non-blank records, counted from the first data record."""
-    counted = with_running_sum(fields, F.lit(1), "n_", order="record_id")
-    return counted.withColumn("source_row", F.col("n_") - 1 - F.lit(start)).filter("source_row >= 0").drop("n_", "record_id", "record")
+    placed = with_position(fields, order="record_id", name="__at", rows="__of")
+    return placed.withColumn("source_row", F.col("__at") - F.lit(start)).filter("source_row >= 0").drop("__at", "__of", "record_id")

@@ -2,17 +2,20 @@
 
 A Structured Streaming query reads new rows (numbered on by the source) and ``foreachBatch``
 merges their buckets into the pyramid table: only what the batch adds and the partial last
-bucket of a level change. State is the table itself, written under a new name each batch
-and pointed to last, so a repeated batch after a failure gives the same table.
+bucket of a level change. State is the table itself, written under a new name each batch,
+then entered with its rows in a list of versions, which is read when a state is made: so a restart goes on from
+the last version entered, and a repeated batch after a failure gives the same table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import OpenError
 from ..operators import pyramid
 
 FIRST_ROWS = 20_000
@@ -27,15 +30,23 @@ def checkpoints(total: int, first: int = FIRST_ROWS) -> Iterator[int]:
     yield total
 
 
-def load_progressive(df: DataFrame, total: int, show: Callable[[DataFrame, int], None], first: int = FIRST_ROWS, order: str = "row_id") -> int:
-    """Calls ``show(prefix, rows)`` at every checkpoint; one that fails is left out. Returns how many were shown."""
+def load_progressive(df: DataFrame, total: int, show: Callable[..., None], first: int = FIRST_ROWS, order: str = "row_id", prepare: Callable[[DataFrame], object] | None = None) -> int:
+    """Calls ``show(prefix, rows)`` at every checkpoint, or ``show(prepare(prefix), rows)``. Returns how many were shown.
+
+    A prefix that ``prepare`` can't open (``OpenError``) is left out, if it isn't the whole; any other error is the caller's to see. ``df``
+    should be a stored table, as each checkpoint reads its prefix.
+    """
     shown = 0
     for n in checkpoints(total, first):
+        prefix = df.filter(F.col(order) < n)
         try:
-            show(df.filter(F.col(order) < n), n)
-            shown += 1
-        except ValueError:
+            ready = prepare(prefix) if prepare else prefix
+        except OpenError:
+            if n == total:
+                raise
             continue
+        show(ready, n)
+        shown += 1
     return shown
 
 
@@ -45,6 +56,12 @@ class PyramidState:
     def __init__(self, spark: SparkSession, folder: str, value: str = "value", tick: str = "tick", order: str = "row_id"):
         self.spark, self.folder, self.value, self.tick, self.order = spark, folder.rstrip("/"), value, tick, order
         self.rows, self.version = 0, None
+        try:
+            last = spark.read.schema("version long, rows long").parquet(f"{self.folder}/versions").agg(F.max(F.struct("version", "rows"))).first()[0]
+        except AnalysisException:  # nothing entered yet
+            return
+        if last is not None:
+            self.version, self.rows = last["version"], last["rows"]
 
     def table(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/v{self.version}")
@@ -62,6 +79,8 @@ class PyramidState:
         else:
             out = pyramid.extend(self.table(), new, self.value, self.rows, None, self.tick, self.order)
         out.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
+        entry = self.spark.createDataFrame([(version, top + 1)], "version long, rows long")
+        entry.coalesce(1).write.mode("append").parquet(f"{self.folder}/versions")
         self.rows, self.version = top + 1, version
 
 

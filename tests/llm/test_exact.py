@@ -97,26 +97,50 @@ def test_jaccard_odd_rows(odd, empty):
     assert kept.columns == odd.columns and kept.filter("doc_id in (1, 2, 20, 40)").count() == 2
 
 
-def test_skip_join_links_all(corpus):
-    rng = np.random.default_rng(1)
-    pool = rng.integers(0, 1 << 60, 400).astype(np.uint64)
-    sets = [np.unique(rng.choice(pool, 60)) for _ in range(30)]
-    sets += [np.unique(np.concatenate([s[3:], pool[:2]])) for s in sets]
-    links = jaccard.skip_join(sets, [len(s) for s in sets], [-1] * len(sets))
-    parent = list(range(len(sets)))
+def test_one_of_each_group_stays_without_ids_too(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text + " end"), (None, None), (None, None), (7, None), (7, None), (None, "tiny"), (3, "tiny"), (5, "other tiny"), (5, "other tiny")]
+    kept = [tuple(r) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    rest = [(None, None), (None, None), (7, None), (7, None), (3, "tiny"), (5, "other tiny")]
+    assert any(sorted(kept, key=str) == sorted([(None, one), *rest], key=str) for one in (text, text + " end"))
+
+
+def linked_by_force(sets, percent=75):
+    out = set()
+    for b in range(len(sets)):
+        for a in range(b):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                out.add((a, b, both))
+    return out
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in links:
-        parent[find(a)] = find(b)
-    for a in range(len(sets)):
-        for b in range(a):
-            both = len(np.intersect1d(sets[a], sets[b]))
-            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-                assert find(a) == find(b)
+@pytest.mark.parametrize("percent", [60, 75, 90])
+def test_skip_join_gives_every_pair(percent):
+    """Pairs and overlaps, of random sets, their near copies, and copies of copies; most are derived and not compared."""
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 60, 900).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(3, 90))) for _ in range(25)]
+    for s in sets[:15]:
+        for _ in range(rng.integers(0, 9)):
+            s = np.unique(np.concatenate([rng.choice(s, max(1, len(s) - int(rng.integers(0, 6))), replace=False), rng.choice(pool, int(rng.integers(0, 6)))]))
+            sets.append(s)
+    want = linked_by_force(sets, percent)
+    assert len(want) >= 25
+    assert set(jaccard.skip_join(sets, [len(s) for s in sets], [-1] * len(sets), percent)) == want
+    known = [0 if i < 40 else -1 for i in range(len(sets))]
+    assert set(jaccard.skip_join(sets, [len(s) for s in sets], known, percent)) == {(a, b, n) for a, b, n in want if b >= 40}
+
+
+def test_answers_of_near_copies_are_derived():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.permutation(200)[:198]], rng.integers(0, 1 << 60, 2).astype(np.uint64)])) for _ in range(60)]
+    join = jaccard.Join(sets, [len(s) for s in sets], [-1] * 60, 75)
+    for i in sorted(range(60), key=lambda i: (len(sets[i]), i)):
+        join.add(i)
+    assert sum(map(len, join.answers)) == 60 * 59 and join.compared < 4 * 60
+    assert {(i, j, n) for j, found in enumerate(join.answers) for i, n in found.items() if i < j} == linked_by_force(sets)
 
 
 def test_components(spark):

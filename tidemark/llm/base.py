@@ -37,18 +37,21 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame, label: str, packed: bool = False, by: str | None = None) -> DataFrame:
+def settle(df: DataFrame, label: str, packed: bool = False, by: str | None = None, rows_a_file: int = 0) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
     This cuts the lineage at a place that survives the loss of executors, and gives the
     planner the real size, so it broadcasts the table only below the session's threshold.
-    Shuffle files of the job go when it ends (Spark 4.1; before that, when the driver collects its plan). ``packed`` compresses harder; ``by`` partitions the table by a column. The returned
+    Shuffle files of the job go when it ends (Spark 4.1; before that, when the driver collects its plan). ``packed`` compresses harder;
+    ``by`` partitions the table by a column; ``rows_a_file`` bounds files of large rows. The returned
     table's ``discard(part)`` deletes it, or one partition folder, once no later step reads
     it.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd") if packed else df.write
+    if rows_a_file:
+        writer = writer.option("maxRecordsPerFile", rows_a_file)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         (writer.partitionBy(by) if by else writer).parquet(path)
     fields = [f for f in df.schema.fields if f.name != by] + [f for f in df.schema.fields if f.name == by]

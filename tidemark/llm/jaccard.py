@@ -16,12 +16,13 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
    components of stars, not of pairs).
 5. Within a candidate group the index join runs on small chunks of sets: first every chunk
    with the group's first one; then, of what that left unconnected, everything against the
-   rest of the group. Index lists hold blocks of sets known to be in one component, ordered
-   by position (size), so a set skips a whole block by its sizes or because an answer already
-   derived for a highly similar set covers it; only sets not yet connected are compared.
+   rest of the group. Index lists are skipped block by block, and a set's answers derived from
+   those of a highly similar set (``Join``). Of a chunk's links as many leave the task as connect its sets.
 
 No step forms all pairs of a group, and none collects a group into one task.
 
+A shingle is told by 64 bits of its hash (in the parts by the 48 below the part's, 57 and more together).
+
 Defined results: null, empty and word-less texts have no set and link with nothing; texts
 with fewer words than a shingle are one shingle; repeated rows each get their row; rows with
 a null id get a null component_id unless linked with others, whose smallest id they get; an
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import WordHash, mix, power_of_two, settle, signed, size_hint, words_of
@@ -212,29 +213,91 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)), pa.array(refs)], names=["key", "ref"])
 
 
-class Blocks:
-    """One index list: positions of sets, in order of size, in blocks of one component each."""
-
-    __slots__ = ("blocks",)
-
-    def __init__(self):
-        self.blocks: list[list[int]] = []
-
-    def add(self, p: int, find) -> None:
-        if self.blocks and find(self.blocks[-1][-1]) == find(p):
-            self.blocks[-1].append(p)
-        else:
-            self.blocks.append([p])
+class Join:
+    """The index join of a few sets, in order of size, with set-relation skipping.
 
+    Index lists hold a set under the shingles of its prefix, in blocks of equal size and
+    position (shingles after this one): a block whose size, or whose position and the asking set's, leave too small an
+    overlap is skipped whole, as are the sets of a block that have been answered. Once a highly similar set
+    is found, the answers of that set are taken over: an overlap with each of them is the similar
+    set's, corrected by the few shingles in which the two differ; and as the similar set isn't larger, a
+    set that isn't among its answers can only be one if it holds a shingle that only the asking set has.
+    """
 
-def skip_join(sets: list[np.ndarray], sizes: list[int], groups: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect every two linked sets, directly or through others.
-
-    ``groups``: sets with one number >= 0 are known to be connected. ``sizes`` are whole
+    def __init__(self, sets: list[np.ndarray], sizes: list[int], groups: list[int], percent: int):
+        self.sizes, self.groups, self.percent = sizes, groups, percent
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        rank = np.empty(len(tokens), np.int64)
+        rank[np.lexsort((tokens, counts))] = np.arange(len(tokens))  # rarest first
+        self.own = [np.sort(rank[np.searchsorted(tokens, s)]).tolist() for s in sets]
+        self.sets = [frozenset(o) for o in self.own]
+        self.alone = int((counts < 2).sum())  # shingles of one set only have the least ranks
+        self.index: dict[int, dict[tuple[int, int], set[int]]] = {}
+        self.answers: list[dict[int, int]] = [{} for _ in sets]
+        self.compared = 0
+
+    def linked(self, i: int, j: int, both: int) -> bool:
+        return 100 * both >= self.percent * (self.sizes[i] + self.sizes[j] - both)
+
+    def _derive(self, i: int, j: int, done: set[int]) -> frozenset[int]:
+        """Takes over what holds of j's answers; returns the shingles that i has and j hasn't."""
+        more, less = self.sets[i] - self.sets[j], self.sets[j] - self.sets[i]
+        for z, both in self.answers[j].items():
+            if z != i and z not in done:
+                done.add(z)
+                both += len(more & self.sets[z]) - len(less & self.sets[z])
+                if self.linked(i, z, both):
+                    self.answers[i][z] = both
+        return more
+
+    def add(self, i: int) -> None:
+        """All answers of set i among those before it; then i is one of these."""
+        own, size, percent = self.own[i], self.sizes[i], self.percent
+        prefix = own[: max(0, size - least_overlap(size, percent) + 1 - (size - len(own)))]
+        done, more = {i}, None
+        for at, token in enumerate(prefix):
+            if token < self.alone:
+                continue
+            rest = len(own) - at - 1
+            for (other, after), members in reversed(self.index.get(token, {}).items()):
+                if other * 100 < percent * size:
+                    break  # all blocks before hold smaller sets
+                if (1 + min(rest, after)) * (100 + percent) < percent * (size + other):
+                    continue
+                for j in sorted(members - done, reverse=True):
+                    if j in done:
+                        continue
+                    done.add(j)
+                    if self.groups[i] >= 0 and self.groups[i] == self.groups[j] or more is not None and more.isdisjoint(self.sets[j]):
+                        continue
+                    both = len(self.sets[i] & self.sets[j])
+                    self.compared += 1
+                    if self.linked(i, j, both):
+                        self.answers[i][j] = both
+                        if more is None and 10 * both >= 9 * size:
+                            more = self._derive(i, j, done)
+        for j, both in self.answers[i].items():
+            self.answers[j][i] = both
+        for at, token in enumerate(prefix):
+            if token >= self.alone:
+                self.index.setdefault(token, {}).setdefault((size, len(own) - at - 1), set()).add(i)
+
+
+def skip_join(sets: list[np.ndarray], sizes: list[int], groups: list[int], percent: int = PERCENT) -> list[tuple[int, int, int]]:
+    """Every linked pair (i, j, overlap), i < j.
+
+    ``groups``: pairs of sets with one number >= 0 are known to be connected and aren't asked for. ``sizes`` are whole
     sizes, ``sets`` the shared shingles, sorted.
     """
-    order = sorted(range(len(sets)), key=lambda i: (sizes[i], i))
-    parent = list(range(len(sets)))
+    join = Join(sets, sizes, groups, percent)
+    for i in sorted(range(len(sets)), key=lambda i: (sizes[i], i)):
+        join.add(i)
+    return [(i, j, both) for i, found in enumerate(join.answers) for j, both in found.items() if i < j and not (groups[i] >= 0 and groups[i] == groups[j])]
+
+
+def spanning(n: int, links: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """As many of the links as connect what all of them connect."""
+    parent = list(range(n))
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -242,40 +305,13 @@ def skip_join(sets: list[np.ndarray], sizes: list[int], groups: list[int], perce
             i = parent[i]
         return i
 
-    heads: dict[int, int] = {}
-    for i, g in enumerate(groups):
-        if g >= 0:
-            parent[find(i)] = find(heads.setdefault(g, i))
-    tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-    index: dict[int, Blocks] = {}
-    links = []
-    for i in order:
-        ranks = np.searchsorted(tokens, sets[i])
-        own = ranks[np.lexsort((ranks, counts[ranks]))]
-        prefix = sizes[i] - least_overlap(sizes[i], percent) + 1 - (sizes[i] - len(own))
-        compared: set[int] = set()
-        for rank in own[: max(0, prefix)].tolist():
-            if counts[rank] < 2:
-                continue
-            entry = index.setdefault(rank, Blocks())
-            for block in reversed(entry.blocks):
-                if sizes[block[-1]] * 100 < percent * sizes[i]:
-                    break  # this block and all before it hold smaller sets only
-                for j in reversed(block):
-                    if find(j) == find(i):
-                        break  # an answer derived already covers the whole block
-                    if j in compared:
-                        continue
-                    compared.add(j)
-                    if sizes[j] * 100 < percent * sizes[i]:
-                        break
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                        links.append((i, j))
-                        parent[find(i)] = find(j)
-                        break
-            entry.add(i, find)
-    return links
+    out = []
+    for i, j, _ in links:
+        a, b = find(i), find(j)
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
 
 
 def _link_chunks(percent: int):
@@ -285,7 +321,7 @@ def _link_chunks(percent: int):
         sets = [np.frombuffer(rows[r][1], np.uint64) for r in refs]
         names: dict[int, int] = {}
         groups = [names.setdefault(rows[r][2], len(names)) if rows[r][2] is not None else -1 for r in refs]
-        found = skip_join(sets, [rows[r][0] for r in refs], groups, percent)
+        found = spanning(len(refs), skip_join(sets, [rows[r][0] for r in refs], groups, percent))
         return pa.Table.from_arrays([pa.array([refs[i] for i, _ in found], pa.int64()), pa.array([refs[j] for _, j in found], pa.int64())], names=["a", "b"])
 
     return run
@@ -293,6 +329,11 @@ def _link_chunks(percent: int):
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, th (xxhash64 of the text), n_shingles, component_id for every row of ``docs``."""
+    return _classes(docs, id_col, text_col, size, percent).drop("class")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """``classes`` with ``class``, the same for linked documents only, with ids or without."""
     bits = int(np.log2(power_of_two(size_hint(docs) / PART_BYTES, 1 << 9)))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").cast("binary").alias("text"))
     counted = text.mapInArrow(_send_pairs(bits, size), _PAIRS).groupBy("part").applyInArrow(_count_part, _PAIRS)
@@ -309,9 +350,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     may = sets.filter("shared is not null").select("ref", "id", "th", "n", "sig").join(by_rep, ["sig", "n"]).select("id", "th", "n", "class")
     may = settle(may, "set-classes")
     least = settle(may.groupBy("class").agg(F.min("id").alias("component_id")), "set-least")
-    joined = may.join(least, "class").select("id", "th", "n", "component_id")
-    alone = sets.filter("shared is null").select("id", "th", "n", F.col("id").alias("component_id"))
-    return joined.unionByName(alone).select(F.col("id").alias("doc_id"), "th", F.col("n").alias("n_shingles"), "component_id")
+    joined = may.join(least, "class").select("id", "th", "n", "component_id", "class")
+    alone = sets.filter("shared is null").select("id", "th", "n", F.col("id").alias("component_id"), F.col("ref").alias("class"))
+    return joined.unionByName(alone).select(F.col("id").alias("doc_id"), "th", F.col("n").alias("n_shingles"), "component_id", "class")
 
 
 def _connect(chosen: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
@@ -350,11 +391,15 @@ def _connect(chosen: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, one of each group of linked documents: the one with the least id."""
-    found = settle(classes(docs, id_col, text_col, size, percent), "dedup-classes")
-    chosen = found.filter("doc_id = component_id or component_id is null").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("__rows"))
-    chosen = settle(chosen.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__rows"), "dedup-kept")
+    """The rows of ``docs``, one of each group of linked documents: the one with the least id; of a group without any id, the one with the least hash of its text."""
+    found = settle(_classes(docs, id_col, text_col, size, percent), "dedup-classes")
+    first = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
+    rows = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
+    stay = first.groupBy(F.col("f.doc_id").alias("__id"), F.col("f.th").alias("__th")).agg(F.count(F.lit(1)).alias("__stay"))
+    stay = settle(stay.join(rows, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__th") == F.col("th"))).select("__id", "__th", "__stay", (F.col("rows") == F.col("__stay")).alias("__all")), "dedup-kept")
     hashed = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
-    kept = hashed.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "inner")
-    once = kept.filter("__rows = 1").select(*docs.columns)
-    return once.unionByName(kept.filter("__rows > 1").dropDuplicates(["__id", "__hash"]).select(*docs.columns))
+    kept = hashed.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")))
+    # of rows that agree in id and text only some may stay; which ones makes no difference
+    line = Window.partitionBy("__id", "__th").orderBy(F.lit(1))
+    some = kept.filter(~F.col("__all")).withColumn("__place", F.row_number().over(line)).filter(F.col("__place") <= F.col("__stay"))
+    return kept.filter("__all").select(*docs.columns).unionByName(some.select(*docs.columns))

@@ -51,7 +51,7 @@ from .base import WordHash, held_out, mix, narrow, one_by_one, power_of_two, set
 
 K, ORDER = 5, 2
 #: Tokens and documents a batch, and stored bytes of input a part of the n-grams.
-BATCH_TOKENS, BATCH_DOCS, PART_BYTES = 1_400_000, 1 << 16, 4 << 20
+BATCH_TOKENS, BATCH_DOCS, PART_BYTES = 2_000_000, 1 << 16, 4 << 20
 #: No word holds a newline, so these can't be words.
 END, START = (xxhash.xxh3_64_intdigest(x) for x in (b"\n</s>", b"\n<s>"))
 _END = np.array([END], np.uint64)
@@ -78,12 +78,16 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_counts(x: np.ndarray) -> bytes:
-    """Whole numbers below 2^32 as four runs of bytes, compressed: the upper ones are mostly zero."""
-    return zstandard.compress(np.ascontiguousarray(np.asarray(x).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    """Whole numbers of any size, as runs of their lowest bytes, their second ones and so on (as many as the largest needs), compressed."""
+    x = np.asarray(x)
+    most = int(x.max()) if len(x) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes(), 1)
 
 
-def unpack_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+def unpack_counts(data: bytes, kind: type = np.int64) -> np.ndarray:
+    width = data[0]
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(kind)
 
 
 def gram_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -177,8 +181,11 @@ def sorted_runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in ascending order of ``key`` (whole numbers), and where in that order a new key begins."""
     low, high = len(key).bit_length(), int(key.max()).bit_length() if len(key) else 0
     if low + high < 63:  # sorting numbers is faster than sorting places
-        both = np.sort((key << low) | np.arange(len(key)))
-        order, key = both & ((1 << low) - 1), both >> low
+        key = key << low
+        key |= np.arange(len(key))
+        key.sort()
+        order = key & ((1 << low) - 1)
+        key >>= low
     else:
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -197,12 +204,13 @@ class Level:
         if below is None:
             self.of, self.hash, keyed = batch.tokens, batch.words, batch.words
         else:
-            history = np.concatenate([[len(below.hash)], below.of[:-1]])
-            history[batch.starts] = len(below.hash)
-            order, first = sorted_runs(history * len(batch.words) + batch.tokens)
-            self.of = np.empty(len(order), np.int64)
-            self.of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+            history = np.empty(len(below.of), np.int32)
+            history[1:], history[batch.starts] = below.of[:-1], len(below.hash)
+            order, first = sorted_runs(history.astype(np.int64) * len(batch.words) + batch.tokens)
+            self.of = np.empty(len(order), np.int32)
+            self.of[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
             some = order[first]
+            del order, first
             self.history, self.low, self.word = history[some], below.of[some], batch.words[batch.tokens[some]]
             self.history_hash = np.append(below.hash, np.uint64(START))
             keyed = self.history_hash[self.history]
@@ -212,7 +220,8 @@ class Level:
             many = self.hot(keyed)[0]
             spread[many] = mix(keyed[many] ^ (mix(self.word[many]) >> np.uint64(56)))
         part = (spread >> np.uint64(64 - model.bits)).astype(np.int64)
-        self.order, self.part_starts = sorted_runs(part)  # n-grams as they are asked about
+        order, self.part_starts = sorted_runs(part)
+        self.order = order.astype(np.int32)  # n-grams as they are asked about
         self.parts = part[self.order[self.part_starts]]
 
     def hot(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +285,7 @@ class Batch:
 
     def __init__(self, row: dict, answers: list[list[dict]], model: Model, ask: bool):
         self.words = np.frombuffer(row["words"], np.uint64)
-        self.tokens = unpack_counts(row["tokens"])
+        self.tokens = unpack_counts(row["tokens"], np.int32)
         self.lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
         self.held = np.frombuffer(row["held"], bool)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -405,7 +414,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     """Base and Katz log10 probability of every row's text; training rows are those whose crc32(id) mod ``modulus`` isn't ``remainder``. ``order``: words of the longest n-grams."""
     bits = int(math.log2(power_of_two(size_hint(docs) / PART_BYTES, 64)))
     base = docs.select(F.col(id_col).cast("long").alias("id"), held_out(docs, id_col, modulus, remainder).alias("held"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    batches = settle(base.mapInArrow(_batches, _BATCH), "lm-batches", packed=True)
+    batches = settle(base.mapInArrow(_batches, _BATCH), "lm-batches", packed=True, rows_a_file=1)
     texts, tokens = batches.agg(F.sum("texts"), F.sum("training")).first()
     model = Model(texts or 0, tokens or 0, bits, None, [], [], [])
     answers: list[DataFrame] = []

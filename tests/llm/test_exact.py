@@ -618,6 +618,31 @@ def test_url_filter(spark):
     assert urlfilter.judge(captures, events.filter("false")).filter("blocked").count() == 0
 
 
+def test_url_filter_ties_long_urls_and_top_level_domains(spark):
+    """Of an add and a removal at one time in one list the removal counts, in different lists each counts for itself; a top-level domain may be listed."""
+    from datetime import datetime as at
+
+    rows = [("l", "host", "a.org", "block", "add", at(2024, 1, 2)), ("l", "host", "a.org", "block", "remove", at(2024, 1, 2)), ("l", "host", "b.org", "block", "remove", at(2024, 1, 2)), ("m", "host", "b.org", "block", "add", at(2024, 1, 2)), ("m", "domain", "net", "block", "add", at(2024, 1, 1))]
+    events = spark.createDataFrame(rows, "list string, kind string, pattern string, action string, op string, at timestamp_ntz")
+    urls = ["http://a.org/", "http://b.org/" + "x/" * 50_000, "http://" + "deep." * 2000 + "example.net/", "http://net/", "http://planet/"]
+    captures = spark.createDataFrame([(i, u, at(2024, 1, 3)) for i, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp_ntz")
+    assert {r["page_id"]: r["blocked"] for r in urlfilter.judge(captures, events).collect()} == {0: False, 1: True, 2: True, 3: True, 4: False}
+
+
+def test_mixing_in_ranges_of_shards(spark):
+    """With ranges of 4 shards the seats of a source still add up, in one more race a level."""
+    quotas = spark.createDataFrame([("0hot", 500, 30), ("0rare", 9, 2)], "__source string, source_seats long, __shards long")
+    shards = spark.createDataFrame([("0hot", s, 8 * (3 + s % 5)) for s in range(30)] + [("0rare", s, 40) for s in range(2)], "__source string, __shard long, __words long")
+    shards = shards.selectExpr("*", "cast(ceil(__words / 8) AS long) AS __blocks", "cast(3 * ceil(__words / 8) AS long) AS __most")
+    for ranged in (4, 1024):
+        seats = mixing._seats_of_shards(shards, quotas, ranged).collect()
+        given = Counter()
+        for r in seats:
+            given[r["__source"]] += r["__quota"]
+            assert 0 <= r["__quota"] <= 3 * r["__blocks"]
+        assert len(seats) == 32 and given == {"0hot": min(500, sum(3 * (3 + s % 5) for s in range(30))), "0rare": 9}
+
+
 def duck():
     import duckdb
 

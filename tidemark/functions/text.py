@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ _WORDY = r"^[+-]?(?:inf|infinity|nan)$"
 _COMMA = r"^-?[0-9]+,[0-9]+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def is_bool(text: Column) -> Column:
     return F.coalesce(F.lower(F.trim(text)).isin("true", "false", "0", "1"), F.lit(False))
 
@@ -21,6 +28,18 @@ def parse_bool(text: Column) -> Column:
     return F.when(t.isin("true", "1"), F.lit(True)).when(t.isin("false", "0"), F.lit(False))
 
 
+def is_i64(text: Column) -> Column:
+    t = F.trim(text)
+    # up to 18 digits always fit; only longer ones are tried
+    return F.regexp_like(t, F.lit(r"^[+-]?[0-9]{1,18}$")) | F.coalesce(parse_i64(text).isNotNull(), F.lit(False))
+
+
+def is_f64(text: Column) -> Column:
+    """Whether ``parse_f64`` gives a number."""
+    t = F.trim(text)
+    return F.regexp_like(t, F.lit(_FLOAT)) | F.regexp_like(F.lower(t), F.lit(_WORDY))
+
+
 def parse_i64(text: Column) -> Column:
     """Trimmed decimal integers within BIGINT, a leading + allowed; null otherwise."""
     t = F.trim(text)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Format labels, in the order in which inference tries them, then the two day/month forms.
 FORMATS = ("iso8601", "iso8601_naive", "datetime_space", "epoch_ns", "epoch_us", "epoch_ms", "epoch_s", "labview_epoch", "excel_serial")
 SLASHED = ("dd_mm_yyyy", "mm_dd_yyyy")
@@ -31,6 +33,8 @@ _DATED = {
 }
 #: Formats that name a calendar date.
 DATED = tuple(_DATED)
+#: Stands in no time stamp.
+_MARK = "\u0001"
 _NUMBER = r"^([+-]?)(\d+)(?:\.(\d*))?$"
 _BIG = "decimal(38,0)"
 
@@ -49,17 +53,28 @@ def _made(ticks: Column, unit: Column, offset: Column) -> Column:
 
 
 def _dated(text: Column, fmt: str) -> Column:
-    part = [F.regexp_extract(text, _DATED[fmt], i) for i in range(1, 9)]
+    # one match writes all parts with a mark between them; a text that doesn't match has no mark
+    parts = F.split(F.regexp_replace(text, _DATED[fmt], _MARK.join(f"${i}" for i in range(1, 9))), _MARK, -1)
+    return let(parts, lambda p: F.when(F.size(p) == 8, _of_parts(p, fmt)))
+
+
+def _of_parts(found: Column, fmt: str) -> Column:
+    part = [found[i] for i in range(8)]
     year, month, day = {"dd_mm_yyyy": (2, 1, 0), "mm_dd_yyyy": (2, 0, 1)}.get(fmt, (0, 1, 2))
     date = F.concat_ws("-", part[year], F.lpad(part[month], 2, "0"), F.lpad(part[day], 2, "0")).try_cast("date")
     hour, minute, second = (part[i].try_cast("int") for i in (3, 4, 5))
     zone = part[7]
     away = F.when(F.lower(zone) == "z", F.lit(0)).when(zone != "", F.concat(F.substring(zone, 1, 1), F.lit("1")).try_cast("int") * (F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 5, 2).try_cast("int") * 60))
-    valid = F.regexp_like(text, F.lit(_DATED[fmt])) & date.isNotNull() & (hour < 24) & (minute < 60) & (second < 60)
-    whole = F.unix_date(date).cast("bigint") * DAY + hour * 3600 + minute * 60 + second - F.coalesce(away, F.lit(0))
-    fine = F.length(part[6]) > 9
-    ticks = F.when(fine, _big(whole) * _big(10**12) + _fraction(part[6], 12)).otherwise(_big(whole) * _big(10**9) + _fraction(part[6], 9))
-    ticks = F.when(valid & (F.abs(whole) <= _NANO_SECONDS), ticks.cast(_BIG))
+    valid = date.isNotNull() & (hour < 24) & (minute < 60) & (second < 60)
+    clock = F.when(valid, F.unix_date(date).cast("bigint") * DAY + hour * 3600 + minute * 60 + second - F.coalesce(away, F.lit(0)))
+    return let(F.struct(clock.alias("whole"), part[6].alias("fraction"), away.alias("away")), _ticks_of_parts)
+
+
+def _ticks_of_parts(x: Column) -> Column:
+    whole, fraction, away = x["whole"], x["fraction"], x["away"]
+    fine = F.length(fraction) > 9
+    ticks = F.when(fine, _big(whole) * _big(10**12) + _fraction(fraction, 12)).otherwise(_big(whole) * _big(10**9) + _fraction(fraction, 9))
+    ticks = F.when(F.abs(whole) <= _NANO_SECONDS, ticks.cast(_BIG))
     return _made(ticks, F.when(fine, "ps").otherwise("ns"), away)
 
 

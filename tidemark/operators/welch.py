@@ -1,9 +1,10 @@
 """Welch power spectral densities on raw samples.
 
 Segments of L samples (by row position) are cut with an overlap, detrended, windowed and
-transformed; one-sided power is averaged over segments. Rows are sent to the segments that
-hold them and each segment is one group of L rows, so a series of any length is spread over
-the cluster and nothing larger than a segment meets in a task.
+transformed; one-sided power is averaged over segments. Rows are sent to packets of about ``PACKET``
+samples (those at an edge to two, so no segment is lost), a packet's segments are transformed together, and
+its sums of power by bin are all that leaves it. So a series of any length is spread over
+the cluster and nothing larger than a packet meets in a task.
 
 Decided here, as no definition says otherwise: windows are periodic; the hop is
 L - floor(L * overlap); samples after the last full segment are left out; a series shorter
@@ -18,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
 from .pyramid import is_missing
 from .rows import join_series, with_running_sum
 from .timestats import largest_uniform_range, summarize, with_segments
 
 SHORTEST, LONGEST = 256, 65_536
+#: Samples of a packet of segments.
+PACKET = 1 << 20
 
 
 def default_segment_length(n: int) -> int:
@@ -52,7 +56,7 @@ def detrend(x: np.ndarray, how: str) -> np.ndarray:
     if how == "none":
         return x
     if how == "mean":
-        return x - x.mean()
+        return x - x.mean(axis=-1, keepdims=True)
     raise ValueError(f"unknown detrending {how!r}")
 
 
@@ -61,33 +65,42 @@ def hop_of(length: int, overlap: float) -> int:
 
 
 def periodogram(x: np.ndarray, rate: float, window: str = "hann", how: str = "mean") -> np.ndarray:
-    """One-sided power density of one segment."""
-    weights = coefficients(window, len(x))
-    power = np.abs(np.fft.rfft(detrend(np.asarray(x, float), how) * weights)) ** 2 / (rate * len(x) * mean_square(weights))
-    last = -1 if len(x) % 2 == 0 else None
-    power[1:last] *= 2
+    """One-sided power density of one segment, or of several (rows)."""
+    x = np.asarray(x, float)
+    length = x.shape[-1]
+    weights = coefficients(window, length)
+    power = np.abs(np.fft.rfft(detrend(x, how) * weights)) ** 2 / (rate * length * mean_square(weights))
+    power[..., 1 : -1 if length % 2 == 0 else None] *= 2
     return power
 
 
 def _spectra(df: DataFrame, by: list[str], run_key: str | None, value: str, order: str, length: int, rate: float, window: str, overlap: float, how: str) -> DataFrame:
-    """by, run, bin, power of each segment. ``order`` counts a run's rows from 0."""
+    """by, run, bin, power (summed), many (segments) of each packet. ``order`` counts a run's rows from 0."""
     hop = hop_of(length, overlap)
+    packet = max(1, PACKET // hop)  # segments
     key = [*by, *([run_key] if run_key else [])]
-    first = F.greatest(F.lit(0), F.floor((F.col(order) - length) / hop) + 1).cast("bigint")
-    spread = df.withColumn("__window", F.explode(F.sequence(first, F.floor(F.col(order) / hop).cast("bigint"))))
-    shaped = spread.select(*key, "__window", F.col(order).alias("__i"), F.col(value).cast("double").alias("__x"))
+    first = F.greatest(F.lit(0), F.floor((F.col(order) - length) / hop) + 1)
+    packets = F.sequence(F.floor(first / packet).cast("bigint"), F.floor(F.col(order) / (hop * packet)).cast("bigint"))
+    spread = df.withColumn("__packet", F.explode(packets))
+    shaped = spread.select(*key, "__packet", F.col(order).alias("__i"), F.col(value).cast("double").alias("__x"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shaped.schema.fields[: len(key)])
+    size = (packet - 1) * hop + length
 
     def transform(name, table):
-        x = np.zeros(0)
-        if table.num_rows == length:
-            x = table.column("__x").to_numpy(zero_copy_only=False).astype(float)[np.argsort(table.column("__i").to_numpy())]
-        power = periodogram(x, rate, window, how) if len(x) and not np.isnan(x).any() else np.zeros(0)
+        at = table.column("__i").to_numpy() - name[-1].as_py() * packet * hop
+        x = np.full(min(size, int(at.max()) + 1), np.nan)  # what isn't there is missing, too
+        x[at] = table.column("__x").to_numpy(zero_copy_only=False)
+        power, many = np.zeros(0), 0
+        if len(x) >= length:
+            segments = np.lib.stride_tricks.sliding_window_view(x, length)[::hop]
+            segments = segments[~np.isnan(segments).any(axis=1)]
+            many = len(segments)
+            power = sum((periodogram(segments[a : a + 64], rate, window, how).sum(axis=0) for a in range(0, many, 64)), np.zeros(length // 2 + 1)) if many else power
         keys = table.select(key).take(pa.array(np.zeros(len(power), np.int64))).columns if key else []
-        return pa.Table.from_arrays([*keys, pa.array(np.arange(len(power))), pa.array(power)], names=[*key, "bin", "power"])
+        return pa.Table.from_arrays([*keys, pa.array(np.arange(len(power))), pa.array(power), pa.array(np.full(len(power), many))], names=[*key, "bin", "power", "many"])
 
-    schema = (fields + ", " if fields else "") + "bin bigint, power double"
-    return shaped.groupBy(*key, "__window").applyInArrow(transform, schema)
+    schema = (fields + ", " if fields else "") + "bin bigint, power double, many bigint"
+    return shaped.groupBy(*key, "__packet").applyInArrow(transform, schema)
 
 
 def welch(df: DataFrame, rate: float, length: int | None = None, value: str = "value", by: list[str] | None = None, order: str = "row_id", window: str = "hann", overlap: float = 0.5, detrending: str = "mean") -> DataFrame:
@@ -97,7 +110,7 @@ def welch(df: DataFrame, rate: float, length: int | None = None, value: str = "v
         last = df.agg(F.max(order)).first()[0]
         length = default_segment_length(0 if last is None else last + 1)
     spectra = _spectra(df, by, None, value, order, length, rate, window, overlap, detrending)
-    means = spectra.groupBy(*by, "bin").agg(F.avg("power").alias("power"), F.count(F.lit(1)).alias("segment_count"))
+    means = spectra.groupBy(*by, "bin").agg((F.sum("power") / F.sum("many")).alias("power"), F.sum("many").alias("segment_count"))
     return means.select(*by, "bin", (F.col("bin") * F.lit(rate / length)).alias("freq"), "power", "segment_count")
 
 
@@ -108,22 +121,14 @@ def welch_segmented(df: DataFrame, rate: float, length: int, value: str = "value
     """
     by = by or []
     key = [*by, run]
-    sizes = df.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first"))
-    on = None
-    for k in key:
-        test = df[k].eqNullSafe(sizes[f"__{k}"])
-        on = test if on is None else on & test
-    placed = df.join(sizes.filter(F.col("__n") >= length), on).withColumn("__at", F.col(order) - F.col("__first"))
+    sizes = settle(df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__first")), "runs")
+    placed = join_series(df, sizes.filter(F.col("__n") >= length), key).withColumn("__at", F.col(order) - F.col("__first"))
     spectra = _spectra(placed, by, run, value, "__at", length, rate, window, overlap, detrending)
-    each = spectra.groupBy(*key, "bin").agg(F.avg("power").alias("power"), F.count(F.lit(1)).alias("many"))
-    on = None
-    for k in key:
-        test = each[k].eqNullSafe(sizes[f"__{k}"])
-        on = test if on is None else on & test
-    weighed = each.join(sizes.select(*[f"__{k}" for k in key], "__n"), on)
+    each = spectra.groupBy(*key, "bin").agg((F.sum("power") / F.sum("many")).alias("power"), F.sum("many").alias("many"))
+    weighed = join_series(each, sizes.drop("__first"), key)
     means = weighed.groupBy(*by, "bin").agg((F.sum(F.col("power") * F.col("__n")) / F.sum("__n")).alias("power"), F.sum("many").alias("segment_count"))
     spectrum = means.select(*by, "bin", (F.col("bin") * F.lit(rate / length)).alias("freq"), "power", "segment_count")
-    excluded = sizes.filter(F.col("__n") < length).select(*[F.col(f"__{k}").alias(k) for k in key], F.col("__n").alias("n"))
+    excluded = sizes.filter(F.col("__n") < length).select(*key, F.col("__n").alias("n"))
     return spectrum, excluded
 
 

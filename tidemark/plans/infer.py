@@ -159,8 +159,8 @@ def scan_dtypes(df: DataFrame, columns: list[str]) -> DataFrame:
         flags.append(
             F.struct(
                 every(cells.is_bool(cell)).alias("b"),
-                every(cells.parse_i64(cell).isNotNull()).alias("i"),
-                every(cells.parse_f64(cell).isNotNull()).alias("f"),
+                every(cells.is_i64(cell)).alias("i"),
+                every(cells.is_f64(cell)).alias("f"),
                 (every(F.trim(cell).isin("0", "1")) & (F.count(F.lit(1)) > 0)).alias("z"),
                 F.count(F.lit(1)).alias("n"),
             ).alias(c)

@@ -77,7 +77,10 @@ def open_text(spark: SparkSession, path: str, overrides: infer.Overrides | None
 def _raw(spark: SparkSession, path: str, overrides: infer.Overrides) -> tuple[text.Scan, DataFrame, list[str]]:
     """All rows as text, numbered and stored: the second pass reads this, not the file."""
     found = text.scan(spark, path, overrides)
-    raw = with_position(found.rows, order="source_row", name="row_id", rows="rows_").drop("rows_")
+    if found.skipped.take(1):
+        raw = with_position(found.rows, order="source_row", name="row_id", rows="rows_").drop("rows_")
+    else:  # nothing is left out, so rows are numbered already
+        raw = found.rows.withColumn("row_id", F.col("source_row"))
     columns = [c for c in raw.columns if c not in ("source_row", "row_id")]
     if overrides.empty_as_nan:
         raw = raw.withColumns({c: F.when(F.trim(c) == "", F.lit("NaN")).otherwise(F.col(c)) for c in columns[1:]})
@@ -105,10 +108,13 @@ def _typed(found: text.Scan, raw: DataFrame, columns: list[str], overrides: infe
     time, data = columns[0], columns[1:]
     dtypes = {r["series"]: r for r in infer.scan_dtypes(raw, data).collect()}  # one row a column
     fmt, ambiguous = (overrides.timestamp_format, False) if overrides.timestamp_format else infer.infer_timestamp_format(raw, time)
+    values = [infer.cast_column(c, dtypes[c]["dtype"]) for c in data]
     axis, unit, format_confidence = "absolute", "ns", infer.LOW if ambiguous else infer.HIGH
     if fmt:
         parsed = timestamps.parse(F.coalesce(F.col(time), F.lit("")), fmt)
-        with_time = raw.withColumn("parsed", parsed)
+        # stored with its values in their types, so cells are parsed once
+        with_time = settle(raw.select("row_id", parsed.alias("parsed"), *values), "typed")
+        values = data
         checks = with_time.agg(F.count_if(F.col("parsed").isNull()).alias("bad"), *[F.coalesce(F.bool_or(F.col("parsed.unit") == u), F.lit(False)).alias(u) for u in timestamps.DIGITS]).first()
         if checks["bad"]:
             raise InvalidTimestamp(checks["bad"], fmt)
@@ -123,7 +129,7 @@ def _typed(found: text.Scan, raw: DataFrame, columns: list[str], overrides: infe
             axis, tick = "progressive", timestamps.progressive_ticks(cells.parse_f64(F.col(time)))
         else:
             axis, tick, format_confidence = "ordinal", F.col("row_id"), infer.LOW
-    typed = with_time.select("row_id", tick.alias("tick"), offset.alias("offset_seconds"), *[infer.cast_column(c, dtypes[c]["dtype"]) for c in data])
+    typed = with_time.select("row_id", tick.alias("tick"), offset.alias("offset_seconds"), *values)
     if axis == "absolute":
         stats = timestats.summarize(typed).first()
         facts = (stats["sampling_class"], stats["gap_count"], stats["non_monotonic"], stats["duplicate_timestamp"]) if stats and stats["n"] else ("uniform", 0, 0, 0)

@@ -172,5 +172,9 @@ def counts(spark: SparkSession, path: str, overrides: infer.Overrides | None = N
 
 def _numbered(fields: DataFrame, start: int) -> DataFrame:
     """source_row: the place among non-blank records, counted from the first data record."""
-    placed = with_position(fields, order="record_id", name="__at", rows="__of")
-    return placed.withColumn("source_row", F.col("__at") - F.lit(start)).filter("source_row >= 0").drop("__at", "__of", "record_id")
+    first, last, n = fields.agg(F.min("record_id"), F.max("record_id"), F.count(F.lit(1))).first()
+    if n and last - first + 1 == n:  # no number is left out, so none has to be given
+        placed = fields.withColumn("source_row", F.col("record_id") - F.lit(first + start))
+    else:
+        placed = with_position(fields, order="record_id", name="__at", rows="__of").withColumn("source_row", F.col("__at") - F.lit(start))
+    return placed.filter("source_row >= 0").drop("__at", "__of", "record_id")

@@ -15,6 +15,9 @@ from pyspark.sql.types import StructType
 
 #: A word: a run of anything but the ASCII white space space, \t, \n, \v, \f, \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Whole texts handed to Python at once, at most, in jobs whose result is stored.
+ARROW_ROWS = 2000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +55,9 @@ def settle(df: DataFrame, label: str, packed: bool = False, by: str | None = Non
     writer = df.write.option("compression", "zstd") if packed else df.write
     if rows_a_file:
         writer = writer.option("maxRecordsPerFile", rows_a_file)
-    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    rows = int(spark.conf.get(_ARROW))
+    rows = min(ARROW_ROWS, rows) if rows > 0 else ARROW_ROWS
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), setting(spark, _ARROW, str(rows)):
         (writer.partitionBy(by) if by else writer).parquet(path)
     fields = [f for f in df.schema.fields if f.name != by] + [f for f in df.schema.fields if f.name == by]
     out = spark.read.schema(StructType(fields)).parquet(path).select(*df.columns)
@@ -76,7 +81,7 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
 
 def one_by_one(spark: SparkSession):
     """Jobs run inside hand rows to Python one at a time: for tables whose rows are large."""
-    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    return setting(spark, _ARROW, "1")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -102,7 +107,7 @@ def held_out(df: DataFrame, column: str, modulus: int, remainder: int) -> Column
 class WordHash(dict):
     """bytes -> 64-bit hash, computed once per distinct word; emptied when large."""
 
-    limit = 400_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)

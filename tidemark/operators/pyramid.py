@@ -13,7 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle
+
 FACTOR = 8
+#: Levels of so many buckets and more are stored before the next one is built, as level 0 always is.
+STORED = 1 << 16
 BUCKET = ["min", "max", "first_ts", "last_ts", "nan_count"]
 
 
@@ -70,7 +74,10 @@ def _levels(level: DataFrame, by: list[str], rows: int, keep: Callable[[DataFram
     """Level 0 and all above it."""
     n, out, k = -(-rows // FACTOR), None, 0
     while True:
-        level = keep(level, k) if keep else level
+        if keep:
+            level = keep(level, k)
+        elif k == 0 or n >= STORED:
+            level = settle(level, "pyramid-level")
         own = level.select(*by, F.lit(k).alias("level"), "bucket_id", *BUCKET)
         out = own if out is None else out.unionByName(own)
         if n < FACTOR:

@@ -6,7 +6,7 @@ word it comes from. A window of ``SPAN`` neighbouring words is the mean of its w
 vectors; a linear softmax over two classes gives it log-odds; the document has those of
 its windows' softened maximum, so a few words weigh as much in a long text as in a short
 one. Embeddings and softmax are trained jointly (Adam) on a bounded sample of labelled
-rows, with classes weighed alike, then calibrated on the sample by a slope and a shift.
+rows, with classes weighed alike, then calibrated by a slope and a shift on a quarter of it that a second net hasn't seen (or, of few rows, on the sample itself).
 Because all is linear up to the maximum, a word's log-odds is one number, computed once
 for each distinct word of a task.
 
@@ -31,6 +31,8 @@ from .samples import labelled_sample
 BUCKETS, DIM, SPAN, GRAMS = 1 << 16, 8, 4, (3, 4, 5)
 MASK = (1 << 64) - 1
 SAMPLE_ROWS, SAMPLE_BYTES, EPOCHS, RATE, SEED = 6000, 24 << 20, 12, 0.03, 5
+#: Rows of each class that the quarter must hold to calibrate on; with fewer, the net is calibrated on its own sample.
+APART = 30
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -92,6 +94,19 @@ def window_means(values: np.ndarray) -> np.ndarray:
 
 
 def train(sample: list[tuple[bytes, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Bag:
+    """A net of the whole sample, calibrated by one that hasn't seen the sample's first quarter, on that quarter (if that has ``APART`` rows of each class)."""
+    net = _train(sample, epochs, rate, seed)
+    apart = sample[: len(sample) // 4]
+    labels = [label for _, label in apart]
+    if net.slope and min(labels.count(0), labels.count(1)) >= APART:
+        other = _train(sample[len(apart) :], epochs, rate, seed)
+        if other.slope:
+            z = scorer(other, raw=True)([t.decode("utf-8", "replace") for t, _ in apart])
+            net.slope, net.shift = calibrate(z, np.array(labels, float))
+    return net
+
+
+def _train(sample: list[tuple[bytes, int]], epochs: int, rate: float, seed: int) -> Bag:
     random = np.random.default_rng(seed)
     net = Bag(random.normal(0, 0.1, (BUCKETS, DIM)), random.normal(0, 0.5, (DIM, 2)), np.zeros(2))
     y = np.array([label for _, label in sample], float)

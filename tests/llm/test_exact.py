@@ -223,6 +223,34 @@ def test_a_shard_prunes_and_stays_exact():
     assert np.mean(scored) < n / 4
 
 
+def test_frequent_lists_are_not_read_for_each_query():
+    """A query with a floor reads a posting of its other lists once at most and no document's own words; ties, frequent words alone and impacts beyond 24 bits stay exact."""
+    rng = np.random.default_rng(6)
+    n, terms = 2000, 300
+    lists = [np.sort(rng.choice(n, n - 10 * t if t < 100 else int(rng.integers(2, 60)), replace=False)) for t in range(terms)]
+    many = np.array([len(x) for x in lists])
+    points = (rng.integers(1, 40, many.sum()) * np.repeat(1 + 20_000 // many, many)).astype(np.uint32)
+    starts = np.cumsum(many) - many
+    points[starts[3] : starts[4]] += np.uint32((1 << 24) + 1)
+    row = search.Shard.stored(list(range(n)), np.arange(terms, dtype=np.uint64), many, np.concatenate(lists), points)
+    shard = search.Shard(row["ids"], *(row[c] for c in search._STORED))
+    read = []
+    shard._sums = lambda blocks, sums=shard._sums: (read.append(int(shard.block_sizes[blocks].sum())), sums(blocks))[1]
+    shard._scores = lambda docs, score=shard._scores: (read.append(int(shard.doc_many[docs].sum())), score(docs))[1]
+    for turn in range(20):
+        asked = np.sort(rng.choice(100 if turn % 4 == 0 else terms, 80, replace=False))
+        full = np.zeros(n, np.int64)
+        for t in asked:
+            full[lists[t]] += points[starts[t] : starts[t] + many[t]]
+        best = sorted((-p, i) for i, p in enumerate(full.tolist()) if p)[:10]
+        for floor in (0, -best[-1][0], -best[3][0]):
+            read.clear()
+            numbers, scores = shard.top(shard.places(asked.astype(np.uint64)), -1, floor, 10)
+            assert [(-p, i) for i, p in zip(numbers.tolist(), scores.tolist(), strict=True)] == [b for b in best if -b[0] >= floor]
+        rare = asked[(many[asked] * 24 <= n) | (asked == 3)]
+        assert sum(read) <= many[rare].sum()
+
+
 def test_search_odd_rows(odd, empty):
     assert search.top_k(empty).count() == 0
     got = [(r["query_id"], r["doc_id"]) for r in search.top_k(odd).collect()]

@@ -251,6 +251,63 @@ def test_frequent_lists_are_not_read_for_each_query():
         assert sum(read) <= many[rare].sum()
 
 
+def test_a_shard_scores_many_queries_together(monkeypatch):
+    """Parts of queries, with or without floors, of their own documents or of others, null ids and copies give what scoring every document gives."""
+    monkeypatch.setattr(search, "BATCH_POSTINGS", 700)
+    rng = np.random.default_rng(8)
+    n, terms, k = 1003, 240, 10
+    lists = []
+    for t in range(terms):  # words of two languages, so of the first or the last documents, few of them frequent
+        some = np.arange(600) if t % 2 else np.arange(600, n)
+        lists.append(np.sort(rng.choice(some, int(rng.integers(150, 400)) if t < 24 else int(rng.integers(2, 40)), replace=False)))
+    matrix = np.zeros((terms, n), np.int64)
+    for t, x in enumerate(lists):
+        matrix[t, x] = rng.integers(1, 40, len(x)) * (1 if t < 24 else 30)
+    matrix[:, 50:70] = matrix[:, 50:51]  # copies, so ties beyond the best
+    points = [matrix[t][matrix[t] > 0] for t in range(terms)]
+    numbers = [np.flatnonzero(matrix[t]) for t in range(terms)]
+    many = np.array([len(x) for x in numbers])
+    ids = [None if i % 90 == 0 else int(x) for i, x in enumerate(rng.permutation(n))]
+    row = search.Shard.stored(ids, np.arange(terms, dtype=np.uint64), many, np.concatenate(numbers), np.concatenate(points).astype(np.uint32))
+    shard = search.Shard(row["ids"], *(row[c] for c in search._STORED))
+    asked = [np.sort(rng.choice(np.arange(q % 2, terms, 2 if q % 5 else 1), 40, replace=False)) for q in range(150)]
+    asked[7] = asked[7][:0]
+    asked[50] = np.flatnonzero(matrix[:, 50])
+    own = np.where(np.arange(150) % 3 == 0, np.arange(150) * 6, -1)
+    want = []
+    for q, at in enumerate(asked):
+        full = matrix[at].sum(axis=0)
+        want.append(sorted((-int(p), ids[i] is None, ids[i] or 0, i) for i, p in enumerate(full) if p and i != own[q])[:k])
+    floors = np.array([0 if q % 4 == 0 or len(w) < k else -w[-1 - q % 3][0] + q % 2 for q, w in enumerate(want)])
+    read, parts = [], []
+    monkeypatch.setattr(shard, "_read", lambda who, at, queries, f=shard._read: (read.append(int(shard.many[at].sum())), f(who, at, queries))[1])
+    monkeypatch.setattr(shard, "_part", lambda names, *x, f=shard._part: (parts.append(len(names)), f(names, *x))[1])
+    who = np.repeat(np.arange(150), [len(x) for x in asked])
+    query, docs, scores = shard.tops_of(who, np.concatenate(asked), own, floors, k)
+    for q, w in enumerate(want):
+        mine = [(-int(s), ids[d] is None, ids[d] or 0, int(d)) for d, s in zip(docs[query == q], scores[query == q], strict=True)]
+        assert mine == [x for x in w if -x[0] >= floors[q]]
+    assert len(parts) == 1 and sum(read) <= sum(many[at][many[at] * search.FREQUENT <= n].sum() for at in asked)
+
+
+def test_search_visits_few_shards_first(spark, corpus, monkeypatch):
+    """Of 64 shards the first round's scores are floors for the others, which then hand over fewer hits a shard."""
+    rows = [(i, t) for i, (_, t) in enumerate(corpus * 2)]
+    hits = []
+
+    def settle(df, label, *a, **b):
+        out = stored(df, label, *a, **b)
+        if label == "search-hits":
+            hits.append((out.count(), out.select("shard").distinct().count()))
+        return out
+
+    stored = search.settle
+    monkeypatch.setattr(search, "settle", settle)
+    assert found_by(spark.createDataFrame(rows, "doc_id long, text string").repartition(64), k=2) == search_by_force(rows, k=2)
+    (first, few), (second, others) = hits
+    assert few < others and second / others < first / few
+
+
 def test_search_odd_rows(odd, empty):
     assert search.top_k(empty).count() == 0
     got = [(r["query_id"], r["doc_id"]) for r in search.top_k(odd).collect()]
